@@ -71,7 +71,7 @@ def significance(df: DataFrame, cols: Sequence[str], target: str, keys: Sequence
     group = [*keys, "column"]
     by_value = cells.groupBy(*group, "value").agg(F.sum("n").cast("double").alias("nv"))
     by_class = cells.groupBy(*group, "target").agg(F.sum("n").cast("double").alias("nc"))
-    totals = by_class.groupBy(*group).agg(F.sum("nc").alias("N"), F.count("*").alias("classes"))
+    totals = by_class.groupBy(*group).agg(F.sum("nc").alias("total"), F.count("*").alias("classes"))
     value_count = by_value.groupBy(*group).agg(F.count("*").alias("values"))
 
     def null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -84,7 +84,7 @@ def significance(df: DataFrame, cols: Sequence[str], target: str, keys: Sequence
     full = null_safe(cells, by_class, [*group, "target"])
     full = null_safe(full, by_value, [*group, "value"])
     full = null_safe(null_safe(full, totals, group), value_count, group)
-    n, nv, nc, N = (F.col(c) for c in ("n", "nv", "nc", "N"))
+    n, nv, nc, N = (F.col(c) for c in ("n", "nv", "nc", "total"))
 
     def gain(margin: Column, other: Column) -> Column:
         # present cell: larger of both shares, instead of the share outside
@@ -250,8 +250,7 @@ def mrmr(
 
     types = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
     schema = f"{types}rank long, column string, score double"
-    grouped = pairs.groupBy(*keys) if keys else pairs.groupBy(F.lit(1))
-    return grouped.applyInPandas(pick, schema)
+    return pairs.withColumn("_all", F.lit(1)).groupBy(*(keys or ["_all"])).applyInPandas(pick, schema)
 
 
 def mrmr_score(df: DataFrame, chosen: Sequence[str], target: str, keys: Sequence[str] = ()) -> DataFrame:
