@@ -87,14 +87,14 @@ def candidate_rows(
     """Each sentence once per predicate, one row per word.
 
     Adds ``pred_no``, ``pred_word`` and the predicate's ``pred_cols`` as
-    ``pred_<col>``. Token columns are carried along, so context features made
+    ``of_pred_<col>``. Token columns are carried along, so context features made
     before this step cost one computation per token, not per candidate.
     """
     side = predicates(tokens, sent).select(
         *sent,
         "pred_no",
         F.col("word_id").alias("pred_word"),
-        *[F.col(c).alias(f"pred_{c}") for c in pred_cols],
+        *[F.col(c).alias(f"of_pred_{c}") for c in pred_cols],
     )
     if prune:
         up = tree_paths(tokens, (), sent).withColumnsRenamed({"word_id": "pred_word", "up": "pred_up"})
@@ -121,13 +121,10 @@ def pred_arg(candidates: DataFrame, cols: Sequence[str] = SYNT_COLUMNS) -> DataF
 
     Needs candidates made with the same columns in ``pred_cols``.
     """
-    require(candidates, [f"pred_{c}" for c in cols])
-    made = {}
-    for c in cols:
-        made[f"Pred_{c}"] = F.col(f"pred_{c}")
-    for c in cols:
-        made[f"PredArg_{c}"] = F.concat_ws(" ", F.col(f"pred_{c}"), F.col(c))
-    return candidates.withColumns(made).drop(*[f"pred_{c}" for c in cols if c != "head"])
+    require(candidates, [f"of_pred_{c}" for c in cols])
+    made = {f"Pred_{c}": F.col(f"of_pred_{c}") for c in cols}
+    made.update({f"PredArg_{c}": F.concat_ws(" ", F.col(f"of_pred_{c}"), F.col(c)) for c in cols})
+    return candidates.withColumns(made).drop(*[f"of_pred_{c}" for c in cols])
 
 
 def synt_rel(word: Column, head: Column, up: Column, pred: Column, pred_head: Column) -> dict[str, Column]:
@@ -139,48 +136,51 @@ def synt_rel(word: Column, head: Column, up: Column, pred: Column, pred_head: Co
     }
 
 
-def _text(values: Column, sign: str) -> Column:
-    return F.when(F.size(values) > 0, F.concat(F.lit(sign), F.array_join(values, sign))).otherwise("")
+def _text(values: Column, n: Column, sign: str) -> Column:
+    return F.when(n > 0, F.concat(F.lit(sign), F.array_join(values, sign))).otherwise("")
 
 
-def dep_path(up: Column, pred_up: Column, values: dict[str, tuple[Column, Column]]) -> dict[str, Column]:
-    """Path from a word to its predicate as text.
+def dep_path(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``DepPath_<col>``, ``DepPathDir`` and ``DepPathLength`` of rows that carry
+    both walks to the root (`with_paths`).
 
-    ``up`` and ``pred_up`` are the two walks to the root, ``values`` maps a
-    column name to its values along both. Going up writes ``/value``, going down
-    ``\\value``; inner nodes only, plus the meeting point when it is neither
-    end. ``+`` is the predicate itself, ``/+++`` leads to another tree.
+    Going up writes ``/value``, going down ``\\value``; inner nodes only, plus
+    the meeting point when it is neither end. ``+`` is the predicate itself,
+    ``/+++`` leads to another tree. Meeting point and steps are columns of their
+    own projection, so they are worked out once per row.
     """
-    word, pred = F.element_at(up, 1), F.element_at(pred_up, 1)
-    meet = F.get(F.array_intersect(up, pred_up), 0)
-    rise = F.array_position(up, meet).cast("int") - 1
-    fall = F.array_position(pred_up, meet).cast("int") - 1
-    apart = meet.isNull()
-    only_up = meet == pred
-
+    word, pred, meet = F.col("word_id"), F.col("pred_word"), F.col("_meet")
+    rise, fall = F.col("_rise"), F.col("_fall")
+    apart, only_up, same = meet.isNull(), F.coalesce(meet == pred, F.lit(False)), word == pred
+    out = rows.withColumn("_meet", F.get(F.array_intersect("up", "pred_up"), 0))
+    out = out.withColumns(
+        {
+            "_rise": F.array_position("up", meet).cast("int") - 1,
+            "_fall": F.array_position("pred_up", meet).cast("int") - 1,
+        }
+    )
     # how many values follow the own one on each walk
-    n_up = F.when(apart, F.size(up) - 1).when(only_up, F.greatest(rise - 1, F.lit(0))).otherwise(rise)
-    n_down = F.when(apart, F.size(pred_up) - 1).when(only_up, F.lit(0)).otherwise(F.greatest(fall - 1, F.lit(0)))
-    bridge = F.when(apart, "/+++").otherwise("")
-    end = F.when(~apart & only_up, "/").otherwise("\\")
-
-    def text(a: Column, b: Column) -> Column:
-        path = F.concat(
-            _text(F.slice(a, 2, n_up), "/"), bridge, _text(F.reverse(F.slice(b, 2, n_down)), "\\"), end
-        )
-        return F.when(word == pred, "+").otherwise(path)
-
-    length = (
-        F.when(word == pred, 0)
-        .when(apart, F.size(up) + 100 + n_down)
+    out = out.withColumns(
+        {
+            "_n_up": F.when(apart, F.size("up") - 1).when(only_up, F.greatest(rise - 1, F.lit(0))).otherwise(rise),
+            "_n_down": F.when(apart, F.size("pred_up") - 1).when(only_up, 0).otherwise(F.greatest(fall - 1, F.lit(0))),
+        }
+    )
+    n_up, n_down = F.col("_n_up"), F.col("_n_down")
+    bridge, end = F.when(apart, "/+++").otherwise(""), F.when(only_up, "/").otherwise("\\")
+    made = {}
+    for c in cols:
+        up, down = F.slice(f"up_{c}", 2, n_up), F.reverse(F.slice(f"pred_up_{c}", 2, n_down))
+        made[f"DepPath_{c}"] = F.when(same, "+").otherwise(F.concat(_text(up, n_up, "/"), bridge, _text(down, n_down, "\\"), end))
+    direction = F.concat(F.repeat(F.lit("/"), n_up), bridge, F.repeat(F.lit("\\"), n_down), end)
+    made["DepPathDir"] = F.when(same, "+").otherwise(direction)
+    made["DepPathLength"] = (
+        F.when(same, 0)
+        .when(apart, F.size("up") + 100 + n_down)
         .when(only_up, rise)
         .otherwise(rise + (rise > 0).cast("int") + n_down)
     )
-    out = {f"DepPath_{c}": text(a, b) for c, (a, b) in values.items()}
-    direction = F.concat(F.repeat(F.lit("/"), n_up), bridge, F.repeat(F.lit("\\"), n_down), end)
-    out["DepPathDir"] = F.when(word == pred, "+").otherwise(direction)
-    out["DepPathLength"] = length.cast("int")
-    return out
+    return out.withColumns(made).drop("_meet", "_rise", "_fall", "_n_up", "_n_down")
 
 
 def with_paths(
@@ -199,10 +199,7 @@ def path_features(
 ) -> DataFrame:
     """`synt_rel` and `dep_path` columns for candidate rows."""
     full = with_paths(tokens, cols, rows, sent)
-    made = dep_path(
-        F.col("up"), F.col("pred_up"), {c: (F.col(f"up_{c}"), F.col(f"pred_up_{c}")) for c in cols}
-    )
     pred_head = F.coalesce(F.get("pred_up", 1), F.lit(0))
-    made.update(synt_rel(F.col("word_id"), F.col("head"), F.col("up"), F.col("pred_word"), pred_head))
+    full = full.withColumns(synt_rel(F.col("word_id"), F.col("head"), F.col("up"), F.col("pred_word"), pred_head))
     names = ["up", *[f"up_{c}" for c in cols]]
-    return full.withColumns(made).drop(*names, *[f"pred_{n}" for n in names])
+    return dep_path(full, cols).drop(*names, *[f"pred_{n}" for n in names])

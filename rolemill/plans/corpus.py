@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rolemill.session import partitions
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -20,6 +22,8 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("conv_id") * 1000 + F.col("turn")).alias("sent_id"),
         F.filter(F.split("text", r"[ \t\n\r\f]+"), lambda w: w != "").alias("_words"),
     )
+    # one shuffle of the compact text; windows and joins by sentence then need none
+    turns = turns.repartition(partitions(spark), "sent_id")
     words = turns.select("sent_id", F.posexplode("_words").alias("_i", "form"))
     lemma, first = F.lower("form"), F.substring("form", 1, 1)
     return words.select(
