@@ -18,9 +18,10 @@ def cluster_table(lines: DataFrame, order: str) -> DataFrame:
 
 def read_clusters(spark: SparkSession, path: str) -> tuple[list[int], DataFrame]:
     """Token columns the lookup key is made of (line 1), and the lookup table."""
-    lines = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id())
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", place.alias("_line"))
     first = lines.orderBy("_line").first()
-    rest = lines.filter(F.col("_line") != first["_line"]).filter(F.col("value").contains(":"))
+    rest = lines.filter(F.col("value").contains(":"))
     return [int(x) for x in first["value"].split()], cluster_table(rest, "_line")
 
 
