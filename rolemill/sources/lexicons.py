@@ -70,7 +70,7 @@ def frameset_table(files: DataFrame) -> DataFrame:
 
 
 def read_framesets(spark: SparkSession, path: str) -> DataFrame:
-    return frameset_table(spark.read.option("wholetext", True).text(path))
+    return frameset_table(spark.read.text(path, wholetext=True))
 
 
 def score_text(scored: DataFrame, key: str) -> DataFrame:

@@ -23,6 +23,11 @@ def score_stream(stream: DataFrame, model: PipelineModel, label: str, domains: M
     return classify(model, recode_unknown(stream, domains), label)
 
 
+def _timed(stream: DataFrame, ts: str) -> DataFrame:
+    """Event time must be a timestamp with time zone; files often hold one without."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def gather_sentences(stream: DataFrame, ts: str, sent: Sequence[str], cols: Sequence[str], gap: str, delay: str) -> DataFrame:
     """One row per finished sentence with its words.
 
@@ -30,7 +35,7 @@ def gather_sentences(stream: DataFrame, ts: str, sent: Sequence[str], cols: Sequ
     state holds open sentences only, spread by sentence.
     """
     return (
-        stream.withWatermark(ts, delay)
+        _timed(stream, ts).withWatermark(ts, delay)
         .groupBy(*sent, F.session_window(ts, gap))
         .agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("words"))
         .select(*sent, "words")
@@ -54,5 +59,5 @@ def eval_stream(
     stream: DataFrame, gold: str, pred: str, ts: str, width: str, delay: str, keys: Sequence[str] = (), labeled: bool = True
 ) -> DataFrame:
     """Running counts per event-time window; late rows are dropped after ``delay``."""
-    windowed = stream.withWatermark(ts, delay).withColumn("window", F.window(ts, width))
+    windowed = _timed(stream, ts).withWatermark(ts, delay).withColumn("window", F.window(ts, width))
     return confusion_stats(windowed, gold, pred, ["window", *keys], labeled)
