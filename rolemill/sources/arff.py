@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import re
 from collections.abc import Sequence
 
@@ -13,6 +12,9 @@ from pyspark.sql import types as T
 from rolemill.tables import domain_of
 
 
+_LABEL = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^,\s][^,]*"""
+
+
 def _unquote(text: str) -> str:
     text = text.strip()
     if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"":
@@ -30,9 +32,8 @@ def parse_header(lines: Sequence[str]) -> T.StructType:
         name, kind = _unquote(found[1]), found[2].strip()
         domain = re.search(r"\{(.*)\}", kind)
         if domain:
-            quote = "'" if "'" in domain[1] and '"' not in domain[1] else '"'
-            values = next(csv.reader([domain[1]], quotechar=quote, escapechar="\\", skipinitialspace=True), [])
-            fields.append(T.StructField(name, T.StringType(), True, {"nominal": [v.strip() for v in values]}))
+            values = [_unquote(v) for v in re.findall(_LABEL, domain[1])]
+            fields.append(T.StructField(name, T.StringType(), True, {"nominal": values}))
         elif kind.lower().startswith("string"):
             fields.append(T.StructField(name, T.StringType()))
         elif re.match("(?i)(numeric|real|integer)", kind):
@@ -96,16 +97,20 @@ def _quoted(value: Column) -> Column:
     return F.concat(F.lit('"'), escaped, F.lit('"'))
 
 
+def _quote(text: str) -> str:
+    return '"' + re.sub(r'(["\\])', r"\\\1", text) + '"'
+
+
 def header_lines(df: DataFrame, relation: str) -> list[str]:
     lines = [f"@relation {relation}", ""]
     for f in df.schema.fields:
         domain = domain_of(df, f.name)
         if domain is not None:
-            values = ",".join('"' + re.sub(r'(["\\])', r"\\\1", v) + '"' for v in sorted(domain))
-            kind = "{" + values + "}"
+            kind = "{" + ",".join(_quote(v) for v in sorted(domain)) + "}"
         else:
             kind = "string" if isinstance(f.dataType, T.StringType) else "numeric"
-        lines.append(f"@attribute {f.name} {kind}")
+        name = f.name if re.fullmatch(r"[^\s'\"{}%,]+", f.name) else _quote(f.name)
+        lines.append(f"@attribute {name} {kind}")
     return [*lines, "", "@data"]
 
 
