@@ -30,12 +30,18 @@ def contingency(df: DataFrame, cols: Sequence[str], target: str, keys: Sequence[
     )
 
 
+def domain_size_parts(df: DataFrame, col: str, part: str = PART) -> DataFrame:
+    """(part, values): how many distinct values each part has."""
+    return df.groupBy(part).agg(F.count_distinct(col).alias("values"))
+
+
 def domain_size_stats(df: DataFrame, col: str, part: str = PART) -> DataFrame:
-    """How many parts, and which, have how many distinct values."""
-    sizes = df.groupBy(part).agg(F.count_distinct(col).alias("values"))
-    return sizes.groupBy("values").agg(
-        F.count("*").alias("parts"), F.array_join(F.array_sort(F.collect_list(part)), " ").alias("names")
-    )
+    """(values, parts): how many parts have how many distinct values.
+
+    Which ones these are is the long listing `domain_size_parts`, one row per
+    part, since a list in one cell would grow with the number of parts.
+    """
+    return domain_size_parts(df, col, part).groupBy("values").agg(F.count("*").alias("parts"))
 
 
 def table_stats(df: DataFrame, sent: str, part: str = PART) -> DataFrame:

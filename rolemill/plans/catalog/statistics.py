@@ -25,12 +25,19 @@ def contingency(spark, sf):
     return counts.contingency(nominal(spark, sf), NOMINAL, "flag", ["part_key"])
 
 
-@query("domain_size_stats", """SELECT v AS "values", count(*) AS parts, string_agg(p_brand, ' ' ORDER BY p_brand) AS names
-  FROM (SELECT p_brand, count(DISTINCT p_name) AS v FROM part GROUP BY ALL) AS s GROUP BY v""")
+_SIZES = "(SELECT p_brand, count(DISTINCT p_name) AS \"values\" FROM part GROUP BY ALL)"
+
+
+@query("domain_size_stats", f'SELECT "values", count(*) AS parts FROM {_SIZES} AS s GROUP BY ALL')
 def domain_size_stats(spark, sf):
     return counts.domain_size_stats(table(spark, sf, "part"), "p_name", "p_brand")
 
 
+@query("domain_size_parts", f"SELECT * FROM {_SIZES} AS s")
+def domain_size_parts(spark, sf):
+    return counts.domain_size_parts(table(spark, sf, "part"), "p_name", "p_brand")
+
+
 @query("table_stats", "SELECT event_type, count(*) AS rows, count(DISTINCT user_id) AS sentences FROM events GROUP BY ALL")
 def table_stats(spark, sf):
     return counts.table_stats(table(spark, sf, "events"), "user_id", "event_type")

@@ -63,9 +63,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def fix(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` once in the shared folder and cut its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` once to the shared folder and go on from the written table.
+
+    Cuts the lineage, survives the loss of executors, pins down what depends on
+    partition borders, and later steps read only the columns they need.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

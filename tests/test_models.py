@@ -54,6 +54,19 @@ def test_one_model_per_key(separable):
     assert probs.filter("part_key = 'one' and cls_A1 <> 0").isEmpty()
 
 
+def test_a_large_model_is_joined(separable, monkeypatch):
+    cols = ["shape", "noise", "num"]
+    weights = models.train_grouped(separable, "cls", cols, steps=5)
+    a = models.classify_grouped(weights, separable, "cls", cols, ["id"], prob_dist=["A0", "A1", "_", "none"]).toPandas()
+    c = models.classify_grouped(weights, separable, "cls", cols, ["id"]).toPandas()
+    monkeypatch.setattr(models, "SMALL_MODEL", 0)
+    b = models.classify_grouped(weights, separable, "cls", cols, ["id"], prob_dist=["A0", "A1", "_", "none"]).toPandas()
+    d = models.classify_grouped(weights, separable, "cls", cols, ["id"]).toPandas()
+    probs = ["cls_A0", "cls_A1", "cls__", "cls_none"]
+    a, b, c, d = (x.sort_values("id").reset_index(drop=True) for x in (a, b, c, d))
+    assert (a[probs] - b[probs]).abs().max().max() < 1e-9 and list(c["cls"]) == list(d["cls"])
+
+
 def test_a_key_in_shards_gives_the_same_model(separable, monkeypatch):
     cols = ["shape", "noise", "num"]
     whole = models.train_grouped(separable, "cls", cols, steps=5).toPandas()
