@@ -187,7 +187,7 @@ def frequent_values_transform(spark, sf):
 @query("drop_irrelevant", "SELECT p_brand, p_type, p_size, p_retailprice FROM part")
 def drop_irrelevant(spark, sf):
     part = table(spark, sf, "part").withColumn("constant", F.lit("x"))
-    return values.drop_irrelevant(part, remove=["p_name"], preserve=["p_brand"])
+    return values.drop_irrelevant(part, remove=["p_name"], preserve=["p_brand", "p_retailprice"])
 
 
 @query("drop_low_ranked", f"WITH {NOMINAL_SQL} SELECT line, qty, flag, count(*) AS n FROM nominal GROUP BY ALL")
