@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rolemill.llm import decontaminate, packing, tokencount
+from rolemill.llm import bwt, decontaminate, packing, repeats, simhash, tokencount
 from rolemill.llm.common import table
 from rolemill.session import tune
 
@@ -57,3 +57,33 @@ def op5(spark, sf_dir):
 def op10(spark, sf_dir):
     counts = tokencount.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query("op2_simhash_near_dedup")
+def op2(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, d=2)
+
+
+@query("op6_suffix_array_dedup")
+def op6(spark, sf_dir):
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"), "byte", local=bwt.settle)
+    return out.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS p, unnest(list_transform(range(1, len(w) - 48), lambda p: md5(array_to_string(w[p:p + 49], ' ')))) AS h FROM d WHERE len(w) >= 50),
+lo AS (SELECT h, min(doc_id) AS m FROM g GROUP BY h),
+r AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM g JOIN lo USING (h) WHERE doc_id > m),
+rd AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kd AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM k ANTI JOIN r USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN rd USING (doc_id) LEFT JOIN kd USING (doc_id)
+"""
+
+
+@query("op8_substring_dedup", OP8_SQL)
+def op8(spark, sf_dir):
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"), "word")
+    return out.select("doc_id", F.col("n").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
