@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rolemill.llm import bwt, decontaminate, packing, repeats, simhash, tokencount
+from rolemill.llm import bwt, decontaminate, linededup, packing, repeats, simhash, tokencount, toxicity
 from rolemill.llm.common import table
 from rolemill.session import tune
 
@@ -87,3 +87,24 @@ FROM d LEFT JOIN rd USING (doc_id) LEFT JOIN kd USING (doc_id)
 def op8(spark, sf_dir):
     out = repeats.remove_repeats(table(spark, sf_dir, "documents"), "word")
     return out.select("doc_id", F.col("n").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def held_out(id="doc_id"):
+    return F.crc32(F.col(id).cast("string")) % 5 == 0
+
+
+def toxicity_model(spark, docs, sf_dir):
+    return toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+
+
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op9_line_dedup")
+def op9(spark, sf_dir):
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
