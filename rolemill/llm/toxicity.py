@@ -1,7 +1,9 @@
 """Toxicity by maximum-scoring segments.
 
 Word scores are log-odds between toxic and clean training texts under an
-informative Dirichlet prior, whose shape is the word distribution of all documents;
+informative Dirichlet prior, whose shape is the word distribution of all documents
+(plus half a count each); a word counts once per text, so a long run of one word in
+one text says no more than its presence;
 words whose log-odds are not significant cost ``DRIFT``. A linear scan gives every
 maximal segment of a text. Segment scores are turned into expected numbers of
 segments as good by chance (extreme-value statistics: decay from the clean word
@@ -123,16 +125,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_term
     if len(n) < 2:
         share = 1.0 if n.get(1) else 0.0
         return Model(offset=math.inf if share else -math.inf)
-    split = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}\p{N}']+)"), F.lit(1))).alias("w")
+    split = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}\p{N}']+)"), F.lit(1)))).alias("w")
     seen = train.select("y", split).groupBy("w").agg(F.sum("y").alias("y1"), F.sum(F.lit(1) - F.col("y")).alias("y0"))
     every = rows.select(split).groupBy("w").agg(F.count("*").alias("c"))
     counts = fix(every.join(seen, "w", "left").select("w", "c", F.coalesce("y1", F.lit(0)).alias("y1"), F.coalesce("y0", F.lit(0)).alias("y0")))
-    total, n1, n0 = counts.agg(F.sum("c"), F.sum("y1"), F.sum("y0")).first()
+    total, n1, n0, n_words = counts.agg(F.sum("c"), F.sum("y1"), F.sum("y0"), F.sum(F.expr("cast(y1 + y0 > 0 as int)"))).first()
     if not n1 or not n0:
         return Model(offset=math.log(n[1] / n[0]))
-    a = F.lit(prior) * F.col("c") / F.lit(float(total))
+    a = F.lit(prior) * F.col("c") / F.lit(float(total)) + F.lit(0.5)
+    mass = prior + 0.5 * n_words
     one, zero = F.col("y1") + a, F.col("y0") + a
-    delta = F.log(one / (F.lit(n1 + prior) - one)) - F.log(zero / (F.lit(n0 + prior) - zero))
+    delta = F.log(one / (F.lit(n1 + mass) - one)) - F.log(zero / (F.lit(n0 + mass) - zero))
     terms = counts.filter("y1 + y0 > 0").withColumn("delta", delta).withColumn("z", F.col("delta") / F.sqrt(1 / one + 1 / zero))
     terms = terms.filter(F.abs("z") >= z_min).orderBy(F.abs("z").desc(), "w").limit(max_terms).collect()
     model = Model(words={r["w"]: float(r["delta"]) for r in terms})
