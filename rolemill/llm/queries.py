@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rolemill.llm import bwt, decontaminate, linededup, packing, repeats, simhash, tokencount, topk, toxicity
+from rolemill.llm import bwt, decontaminate, linededup, mainhtml, packing, repeats, simhash, tokencount, topk, toxicity
 from rolemill.llm.common import table
 from rolemill.session import tune
 
@@ -123,3 +123,9 @@ SELECT * FROM r WHERE rank <= 20
 @query("op1_exact_top_k", OP1_SQL)
 def op1(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op4_html_extraction")
+def op4(spark, sf_dir):
+    out = mainhtml.extract_main(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
