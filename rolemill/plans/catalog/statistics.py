@@ -134,11 +134,11 @@ def weighted_measure(spark, sf):
 
 
 @query("results_table", f"""WITH {LABELS_SQL}, s AS (SELECT model, part_key, CAST(sum(CASE WHEN gold = pred THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS a FROM labelled GROUP BY ALL)
-  SELECT model, round(max(a) FILTER (part_key = 1) * 100, 3) AS "1", round(max(a) FILTER (part_key = 2) * 100, 3) AS "2" FROM s GROUP BY model""")
+  SELECT model, round(max(a) FILTER (part_key = 1) * 100, 3) AS "1", round(max(a) FILTER (part_key = 2) * 100, 3) AS "2", round(max(a) FILTER (part_key = 3) * 100, 3) AS "3", round(max(a) FILTER (part_key = 4) * 100, 3) AS "4", round(max(a) FILTER (part_key = 5) * 100, 3) AS "5", round(max(a) FILTER (part_key = 6) * 100, 3) AS "6", round(max(a) FILTER (part_key = 7) * 100, 3) AS "7" FROM s GROUP BY model""")
 def results_table(spark, sf):
-    pairs = labels(spark, sf).filter("part_key in (1, 2)").withColumn("part_key", F.col("part_key").cast("string"))
+    pairs = labels(spark, sf).withColumn("part_key", F.col("part_key").cast("string"))
     scored = evaluation.scores(evaluation.confusion_stats(pairs, "gold", "pred", ["model", "part_key"]))
-    return evaluation.results_table(scored, "model", "part_key", ["1", "2"], "accuracy")
+    return evaluation.results_table(scored, "model", "part_key", [str(i) for i in range(1, 8)], "accuracy")
 
 
 @query("majority_label", f"""WITH {NOMINAL_SQL}, c AS (SELECT part_key, line, flag, count(*) AS n FROM nominal GROUP BY ALL),

@@ -37,7 +37,7 @@ def role_rows(tokens: DataFrame, args: DataFrame, language: Language, prune: boo
     return rows.select(
         "sent_id", "pred_no", "word_id", F.expr(f"right({PART}, 1)").alias(PART), "pos", "deprel", "DepPathDir",
         trees.rel_pos(F.col("word_id"), F.col("pred_word")).alias("RelPos"),
-        F.least(F.abs(F.col("word_id") - F.col("pred_word")), F.lit(10)).cast("string").alias("WordDistance"),
+        F.abs(F.col("word_id") - F.col("pred_word")).cast("string").alias("WordDistance"),
         "semrel", "semrel_ams",
     )
 
