@@ -5,9 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rolemill.llm import bwt, decontaminate, linededup, mainhtml, packing, repeats, simhash, tokencount, topk, toxicity
+from rolemill.llm import alignment, bwt, decontaminate, hardnegatives, linededup, mainhtml, packing, repeats, simhash, tokencount, topk, toxicity, warc
 from rolemill.llm.common import table
-from rolemill.session import tune
+from rolemill.session import scratch_path, tune
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 QUERIES, ORACLES = {}, {}
@@ -129,3 +129,39 @@ def op1(spark, sf_dir):
 def op4(spark, sf_dir):
     out = mainhtml.extract_main(table(spark, sf_dir, "pages"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op11_warc_archive")
+def op11(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    path = scratch_path(spark, "warc")
+    warc.store(warc.records(pages), path)
+    return warc.restore(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardnegatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query("op13_cross_tokenizer_alignment")
+def op13(spark, sf_dir):
+    out = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return out.withColumnRenamed("groups", "groups_sha256")
