@@ -1,10 +1,13 @@
+import math
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rolemill.operators import models, search
+from rolemill.operators import encoding, grouped, models, search
 from rolemill.operators.treeclass import classify_tree
 from rolemill.registry import CLASSIFIERS, register_classifier
+from rolemill.tables import with_domain
 
 
 @pytest.fixture(scope="module")
@@ -54,29 +57,94 @@ def test_one_model_per_key(separable):
     assert probs.filter("part_key = 'one' and cls_A1 <> 0").isEmpty()
 
 
-def test_a_large_model_is_joined(separable, monkeypatch):
+def test_probabilities_of_joined_scores(separable):
     cols = ["shape", "noise", "num"]
     weights = models.train_grouped(separable, "cls", cols, steps=5)
-    a = models.classify_grouped(weights, separable, "cls", cols, ["id"], prob_dist=["A0", "A1", "_", "none"]).toPandas()
-    c = models.classify_grouped(weights, separable, "cls", cols, ["id"]).toPandas()
-    monkeypatch.setattr(models, "SMALL_MODEL", 0)
-    b = models.classify_grouped(weights, separable, "cls", cols, ["id"], prob_dist=["A0", "A1", "_", "none"]).toPandas()
-    d = models.classify_grouped(weights, separable, "cls", cols, ["id"]).toPandas()
-    probs = ["cls_A0", "cls_A1", "cls__", "cls_none"]
-    a, b, c, d = (x.sort_values("id").reset_index(drop=True) for x in (a, b, c, d))
-    assert (a[probs] - b[probs]).abs().max().max() < 1e-9 and list(c["cls"]) == list(d["cls"])
+    table = {(r["part_key"], r["feature"], r["class"]): r["weight"] for r in weights.collect()}
+    got = models.classify_grouped(weights, separable, "cls", cols, ["id"], prob_dist=["A0", "A1", "_", "none"]).collect()
+    for r in got:
+        known = [c for c in ("A0", "A1", "_") if (r["part_key"], "BIAS", c) in table]
+        active = {"BIAS": 1.0, f"shape={r['shape']}": 1.0, f"noise={r['noise']}": 1.0, "num": r["num"]}
+        e = {c: math.exp(sum(v * table[r["part_key"], f, c] for f, v in active.items())) for c in known}
+        for c in ("A0", "A1", "_", "none"):
+            assert abs(r[f"cls_{c}"] - e.get(c, 0.0) / sum(e.values())) < 1e-6
 
 
 def test_a_key_in_shards_gives_the_same_model(separable, monkeypatch):
     cols = ["shape", "noise", "num"]
     whole = models.train_grouped(separable, "cls", cols, steps=5).toPandas()
-    monkeypatch.setattr(models, "SHARD_ROWS", 8)
+    monkeypatch.setattr(grouped, "SHARD_ROWS", 8)
     cut = models.train_grouped(separable, "cls", cols, steps=5).toPandas()
     both = whole.merge(cut, on=["part_key", "feature", "class"], suffixes=("_a", "_b"))
     assert len(both) == len(whole) == len(cut)
     assert (both["weight_a"] - both["weight_b"]).abs().max() < 1e-9
 
 
+def test_shards_stop_when_converged(separable, monkeypatch):
+    rows = separable.withColumn("part_key", F.when(F.col("id") == 3, None).otherwise(F.col("part_key")))
+    whole = models.train_grouped(rows, "cls", ["shape"], l2=20.0, steps=200).toPandas()
+    monkeypatch.setattr(grouped, "SHARD_ROWS", 3)
+    monkeypatch.setattr(grouped, "TOL", 1e-3)
+    cut = grouped.train_trials(rows, "cls", ["shape"], grouped.trial_table(rows, ["part_key"], [(None, 20.0, 200), ([], 20.0, 1)]), tol=1e-3).toPandas()
+    both = whole.merge(cut[cut["trial"] == 0], on=["part_key", "feature", "class"], suffixes=("_a", "_b"))
+    assert len(both) == len(whole) and (both["weight_a"] - both["weight_b"]).abs().max() < 0.05
+    assert set(cut[cut["trial"] == 1]["feature"]) == {"BIAS"} and whole["part_key"].isna().any()
+
+
+def test_binarization_in_training(spark):
+    """Only one member of the set decides the label; its values are all different."""
+    rows = [(i, "k" if i % 3 else None, f"{'x' if i % 2 else 'y'} u{i} v{i % 5}", "p" if i % 2 else "q") for i in range(60)]
+    df = spark.createDataFrame([*rows, (60, "k", None, "q"), (61, "k", "", "q")], "id int, part_key string, set_s string, cls string")
+    train, test = df.filter("id % 4 <> 3"), df.filter("id % 4 = 3 and id < 60")
+    right = {}
+    for kind in ("standard", "set_aware", "dual"):
+        how = encoding.Binarize(kind, prefix="set_")
+        weights = models.train_grouped(train, "cls", ["set_s"], how=how)
+        got = models.classify_grouped(weights, test.withColumn("gold", F.col("cls")), "cls", ["set_s"], ["id"], how=how)
+        right[kind] = got.filter("gold = cls").count()
+        model = models.train_classifier(train, "cls", ["set_s"], how=how)
+        count = models.classify(model, test.withColumn("gold", F.col("cls")), "cls").filter("gold = cls").count()
+        assert kind == "dual" or (count == 15) == (kind == "set_aware")
+        if kind == "set_aware":
+            names = {r["feature"] for r in models.dump_weights(model).collect()}
+            assert {"set_s>x", "set_s>u1"} <= names and not any("=" in n for n in names)
+    assert right["set_aware"] == right["dual"] == 15 > right["standard"]
+    for bad in (lambda: encoding.Binarize("sets"), lambda: models.train_classifier(train, "cls", ["set_s"], kind="forest")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_numbers_and_places(spark):
+    df = spark.createDataFrame([(1, "b", None, True), (2, "a", 2.0, False), (3, None, float("nan"), None)], "id int, s string, n double, t boolean")
+    with pytest.raises(ValueError):
+        df.select(encoding.feature_cells(df, ["s"], encoding.Binarize("none")))
+    known = with_domain(df, "s", ["a", "b"])
+    cells = known.select(encoding.feature_cells(known, ["s", "n"], encoding.Binarize("none")).alias("c")).collect()
+    assert [[(x["name"], x["value"]) for x in r["c"]] for r in cells] == [[("BIAS", 1.0), ("s", 1.0)], [("BIAS", 1.0), ("s", 0.0), ("n", 2.0)], [("BIAS", 1.0)]]
+    plain = df.select(encoding.feature_cells(df, ["s", "n", "t"]).alias("c")).collect()
+    assert [[x["name"] for x in r["c"]] for r in plain] == [["BIAS", "s=b", "t=true"], ["BIAS", "s=a", "n", "t=false"], ["BIAS"]]
+    trained = models.train_classifier(df.withColumn("cls", F.when(F.col("id") == 2, "p").otherwise("q")), "cls", ["n"])
+    assert models.classify(trained, df, "cls").count() == 3
+
+
+def test_feature_table_and_sparse_rows(spark):
+    df = spark.createDataFrame([(1, "k", "a b", 2.0), (2, "k", "b", None), (3, None, None, 1.0), (4, "new", "z", 0.0)], "id int, part_key string, s string, n double")
+    how = encoding.Binarize("set_aware")
+    table = encoding.feature_table(df.filter("id < 4"), ["s", "n"], how=how)
+    assert {(r["part_key"], r["feature"], r["number"]) for r in table.collect()} == {
+        ("k", "BIAS", 0), ("k", "n", 1), ("k", "s>a", 2), ("k", "s>b", 3), (None, "BIAS", 0), (None, "n", 1)}
+    rows = {r["id"]: (r["indices"], r["values"]) for r in encoding.sparse_rows(df, table, ["s", "n"], ["id"], how=how).collect()}
+    assert rows == {1: ([0, 1, 2, 3], [1.0, 2.0, 1.0, 1.0]), 2: ([0, 3], [1.0, 1.0]), 3: ([0, 1], [1.0, 1.0]), 4: ([], [])}
+
+
+def test_no_member_is_left_out(spark):
+    df = spark.createDataFrame([(" ".join(f"m{j}" for j in range(i, i + 3)),) for i in range(0, 300_000, 3)] + [(None,), ("",)], "s string")
+    got = models.set_vectors(df, "s")
+    size = lambda v: v.size
+    assert got.filter("s_set is null").count() == 1
+    assert size(got.filter("s_set is not null").first()["s_set"]) == 300_000
+
+
 def test_binarization(spark):
     df = spark.createDataFrame([("a b", "x"), ("b", "y"), (None, "x"), ("c", "y")], "s string, t string")
     got = models.nominal_to_binary(df, ["s", "t"], set_aware=True)
@@ -99,6 +167,25 @@ def test_searches(separable):
         search.setting_search(one, one, "cls", ["shape"], ["id"], {"l2": [1], "steps": [1, 2]})
 
 
+def test_searches_by_key(spark, separable):
+    """Each key has an order and a best set of its own; jobs do not grow with keys and trials."""
+    three = separable.unionByName(separable.filter("part_key = 'one'").withColumns({"id": F.col("id") + 5000, "part_key": F.lit(None).cast("string"), "cls": F.when(F.col("noise") == "u", "A0").otherwise("_")}))
+    ranks = spark.createDataFrame([("one", "shape", 1), ("one", "noise", 2), ("two", "num", 1), ("two", "shape", 2), (None, "noise", 1), (None, "num", 2)], "part_key string, column string, rank int")
+    best = {r["part_key"]: (r["setting"], r["accuracy"]) for r in search.prefix_search(three, three, "cls", ranks, ["id"], steps=20).collect()}
+    assert best == {"one": ("shape", 1.0), "two": ("num shape", 1.0), None: ("noise", 1.0)}
+    grown = {r["part_key"]: (r["round"], r["columns"], r["score"]) for r in search.greedy_search(three, three, "cls", ["num", "noise", "shape"], ["id"], keys=["part_key"], steps=20).collect()}
+    assert grown == {"one": (1, "shape", 1.0), "two": (1, "shape", 1.0), None: (1, "noise", 1.0)}
+
+    def jobs(name, run):
+        spark.sparkContext.setJobGroup(name, "")
+        run().collect()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    few = jobs("few", lambda: search.setting_search(three, three, "cls", ["shape"], ["id"], {"l2": [1.0, 2.0]}))
+    many = jobs("many", lambda: search.setting_search(three, three, "cls", ["shape"], ["id"], {"l2": [float(i) for i in range(1, 13)]}))
+    assert abs(few - many) <= 2
+
+
 def test_greedy_rules(separable):
     gain = {frozenset("a"): 0.5, frozenset("b"): 0.6, frozenset("c"): 0.6, frozenset("ab"): 0.7, frozenset("bc"): 0.7, frozenset("abc"): 0.705}
     run = lambda **o: [r["columns"] for r in search.greedy_search(
