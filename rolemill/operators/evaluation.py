@@ -22,10 +22,11 @@ def confusion_stats(
     """n, tp, fp, tn, fn with ``_`` as negative.
 
     A wrong label counts as a false positive and as a false negative; with
-    ``labeled=False`` it does not matter which label it is.
+    ``labeled=False`` it does not matter which label it is. NULL is no label.
     """
-    g, p = F.col(gold) != empty, F.col(pred) != empty
-    same = F.col(gold) == F.col(pred) if labeled else F.lit(True)
+    given, guessed = F.coalesce(gold, F.lit(empty)), F.coalesce(pred, F.lit(empty))
+    g, p = given != empty, guessed != empty
+    same = given == guessed if labeled else F.lit(True)
     right = g & p & same
     return df.groupBy(*keys).agg(
         F.count("*").alias("n"),

@@ -4,22 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolemill.tables import EMPTY, PART, SENT, number_rows, require
+from rolemill.tables import EMPTY, PART, SENT, domain_of, number_rows, require
 
 
-def _checked(ok: Column, value: Column, message: str) -> Column:
-    """The value, or a failing job where the check does not hold."""
-    return F.when(ok, value).otherwise(F.raise_error(F.lit(message)))
+def checked(df: DataFrame, ok: Column, message: str) -> DataFrame:
+    """The rows, or a failing job where ``ok`` does not hold for one.
+
+    The check is a filter: unlike a check inside a column it stays in the plan whatever
+    columns the caller uses, also under ``count()``.
+    """
+    return df.filter(F.assert_true(F.coalesce(ok, F.lit(False)), F.lit(message)).isNull())
+
+
+def _key(cols: Sequence[str]) -> Column:
+    """Key columns as one value, in which NULLs are equal."""
+    return F.struct(*[F.col(c) for c in cols])
+
+
+def _single(df: DataFrame, keys: Sequence[str], message: str) -> DataFrame:
+    """The rows, or a failing job if a key repeats."""
+    copies = F.count("*").over(Window.partitionBy(*keys))
+    return checked(df.withColumn("_copies", copies), F.col("_copies") == 1, message).drop("_copies")
 
 
 def attach_senses(tokens: DataFrame, preds: DataFrame, sent: Sequence[str] = SENT) -> DataFrame:
-    """Put predicted senses (sentence, word_id, sense) into PRED."""
-    found = preds.select(*sent, "word_id", F.col("sense").alias("_sense"))
-    out = tokens.join(found, [*sent, "word_id"], "left")
-    return out.select(*[F.coalesce("_sense", "pred").alias(c) if c == "pred" else tokens[c] for c in tokens.columns])
+    """Put predicted senses (sentence, word_id, sense) into PRED; other tokens keep theirs.
+
+    A token with two predictions or a prediction without a token is an error.
+    """
+    keys = [*sent, "word_id"]
+    found = _single(preds.select(*keys, F.col("sense").alias("_sense")), keys, "attach_senses: two predictions for a token")
+    found = found.select(_key(keys).alias("_r"), "_sense", F.lit(True).alias("_found"))
+    out = tokens.withColumns({"_r": _key(keys), "_token": F.lit(True)}).join(found, "_r", "full")
+    out = checked(out, F.col("_token"), "attach_senses: a prediction has no token")
+    return out.select(*[F.coalesce("_sense", "pred").alias(c) if c == "pred" else F.col(c) for c in tokens.columns])
 
 
 def attach_senses_in_order(
@@ -50,15 +71,12 @@ def attach_roles(tokens: DataFrame, preds: DataFrame, roles: DataFrame, sent: Se
 def add_columns(base: DataFrame, other: DataFrame, cols: Sequence[str], on: Sequence[str]) -> DataFrame:
     """Bring columns from another copy of the data; rows must pair one to one."""
     require(other, [*cols, *on])
-    side = other.select(*on, *[F.col(c).alias(f"_new_{c}") for c in cols], F.lit(1).alias("_right"))
-    paired = base.withColumn("_left", F.lit(1)).join(side, list(on), "full")
-    both = F.col("_left").isNotNull() & F.col("_right").isNotNull()
-
-    def new(c: str) -> Column:
-        return _checked(both, F.col(f"_new_{c}"), "add_columns: rows of the two tables do not pair").alias(c)
-
-    kept = [new(c) if c in cols else F.col(c) for c in base.columns]
-    return paired.select(*kept, *[new(c) for c in cols if c not in base.columns])
+    message = "add_columns: rows of the two tables do not pair"
+    side = other.select(_key(on).alias("_r"), *[F.col(c).alias(f"_new_{c}") for c in cols], F.lit(True).alias("_right"))
+    paired = base.withColumns({"_r": _key(on), "_left": F.lit(True)}).join(side, "_r", "full")
+    paired = checked(_single(paired, ["_r"], message), F.col("_left") & F.col("_right"), message)
+    kept = [F.col(f"_new_{c}").alias(c) if c in cols else F.col(c) for c in base.columns]
+    return paired.select(*kept, *[F.col(f"_new_{c}").alias(c) for c in cols if c not in base.columns])
 
 
 def collect_columns(
@@ -72,20 +90,19 @@ def collect_columns(
     """Look up columns by part and id; a big row without a match is an error.
 
     With ``order`` (a unique key present on both sides) repeated ids pair up in
-    that order; without it the ids must be unique in ``small``.
+    that order; without it a repeated id in ``small`` is an error.
     """
     keys = [part, *ids]
     if order is not None:
         big = number_rows(big, order, keys, "_k")
         small = number_rows(small, order, keys, "_k")
         keys = [*keys, "_k"]
-    side = small.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in cols], F.lit(True).alias("_found"))
-    out = big.join(side, keys, "left")
+    else:
+        small = _single(small, keys, "collect_columns: an id repeats")
+    side = small.select(_key(keys).alias("_r"), *[F.col(c).alias(f"_new_{c}") for c in cols], F.lit(True).alias("_found"))
+    out = checked(big.withColumn("_r", _key(keys)).join(side, "_r", "left"), F.col("_found"), "collect_columns: a row has no match")
     names = [c for c in big.columns if c != "_k" and c not in cols]
-    new = [
-        _checked(F.col("_found"), F.col(f"_new_{c}"), "collect_columns: a row has no match").alias(c) for c in cols
-    ]
-    return out.select(*names, *new)
+    return out.select(*names, *[F.col(f"_new_{c}").alias(c) for c in cols])
 
 
 def zip_predictions(models: dict[str, DataFrame], key: Sequence[str], label: str) -> DataFrame:
@@ -98,25 +115,33 @@ def zip_predictions(models: dict[str, DataFrame], key: Sequence[str], label: str
 
 
 def zip_predictions_wide(models: dict[str, DataFrame], key: Sequence[str], label: str) -> DataFrame:
-    """One row per key with one column per model; each model must label each key."""
+    """One row per key with one column per model; each model must label each key once."""
     long = zip_predictions(models, key, label)
-    return long.groupBy(*key).agg(
-        *[F.max(F.when(F.col("model") == m, F.col("label"))).alias(m) for m in models]
+    wide = long.groupBy(*key).agg(
+        *[F.max(F.when(F.col("model") == m, F.col("label"))).alias(m) for m in models],
+        F.array(*[F.count_if(F.col("model") == m) for m in models]).alias("_n"),
     )
+    once = F.forall("_n", lambda n: n == 1)
+    return checked(wide, once, "zip_predictions: a model does not label a key exactly once").drop("_n")
 
 
-def align_gold(gold: DataFrame, pred: DataFrame, key: Sequence[str], gold_label: str, pred_label: str) -> DataFrame:
-    """Pair gold and predicted labels; a key on one side only is an error."""
-    left = gold.select(*key, F.col(gold_label).alias("gold"), F.lit(1).alias("_g"))
-    right = pred.select(*key, F.col(pred_label).alias("pred"), F.lit(1).alias("_p"))
-    both = left.join(right, list(key), "full")
-    ok = F.col("_g").isNotNull() & F.col("_p").isNotNull()
-    message = "align_gold: a key is on one side only"
-    return both.select(
-        *key,
-        _checked(ok, F.col("gold"), message).alias("gold"),
-        _checked(ok, F.col("pred"), message).alias("pred"),
-    )
+def align_gold(
+    gold: DataFrame, pred: DataFrame, key: Sequence[str], gold_label: str, pred_label: str, labels: Sequence[str] | None = None
+) -> DataFrame:
+    """Pair gold and predicted labels; keys must be unique and the same on both sides.
+
+    ``labels``: the label domain, by default the one that the gold column's metadata keep;
+    a label outside it is an error.
+    """
+    left = gold.select(_key(key).alias("_r"), F.col(gold_label).alias("gold"), F.lit(True).alias("_g"))
+    right = pred.select(_key(key).alias("_r"), F.col(pred_label).alias("pred"), F.lit(True).alias("_p"))
+    both = _single(left.join(right, "_r", "full"), ["_r"], "align_gold: a key repeats")
+    both = checked(both, F.col("_g") & F.col("_p"), "align_gold: a key is on one side only")
+    domain = labels if labels is not None else domain_of(gold, gold_label)
+    if domain is not None:
+        inside = [F.col(c).isNull() | F.col(c).isin(list(domain)) for c in ("gold", "pred")]
+        both = checked(both, inside[0] & inside[1], "align_gold: a label is outside the domain")
+    return both.select(*[F.col(f"_r.`{k}`").alias(k) for k in key], "gold", "pred")
 
 
 def non_orphans(a: DataFrame, b: DataFrame, key: Sequence[str] = (PART,)) -> DataFrame:

@@ -106,9 +106,10 @@ def union_data(
         out = df if out is None else out.union(df)
     cols = list(first.columns)
     if merge_on and uniq:
-        numbered = number_rows(out, [row_id], [*merge_on, "_place"], "_k")
-        keep = numbered.groupBy(*merge_on, "_k").agg(F.min("_place").alias("_first"))
-        out = numbered.join(keep, [*merge_on, "_k"]).filter("_place = _first")
+        # the key as one value, in which NULLs are equal
+        numbered = number_rows(out, [row_id], [*merge_on, "_place"], "_k").withColumn("_same", F.struct(*merge_on, "_k"))
+        keep = numbered.groupBy("_same").agg(F.min("_place").alias("_first"))
+        out = numbered.join(keep, "_same").filter("_place = _first")
     if merge_on:
         out = number_rows(out, [*merge_on, "_place", row_id], name="merged_id")
         cols = [*cols, "merged_id"]
@@ -144,27 +145,36 @@ def _switch_type(pred: Column) -> Column:
     return F.concat(F.substring(pred, 1, F.length(pred) - 1), F.when(pred.endswith("n"), "v").otherwise("n"))
 
 
-def merge_rare_keys(
-    df: DataFrame, predinfo: DataFrame, min_sent: int, part: str = PART, file_attr: str | None = None
-) -> DataFrame:
-    """Keys counted less than ``min_sent`` share a part named after their frame.
+def rare_key_names(keys: DataFrame, predinfo: DataFrame, min_sent: int, part: str = PART) -> DataFrame:
+    """(part, name): the part that each key belongs to after merging rare keys.
 
-    ``predinfo``: (pred, count, frame array). The name is the class letter and
-    the sorted frame (``V-A0_A1``, ``N-NULL`` if unknown); a key without a frame
-    borrows the one of the other word class; a group of one keeps its own name.
+    ``predinfo``: (pred, count, frame array). Keys counted less than ``min_sent`` share a
+    part named after their class letter and sorted frame (``V-A0_A1``, ``N-NULL`` if
+    unknown); a key without a frame borrows the one of the other word class; a group of
+    one keeps its own name, and so does a NULL key.
     """
-    keys = df.select(F.col(part).alias("_key")).distinct().withColumn("_twin", _switch_type(F.col("_key")))
+    listed = keys.select(F.col(part).alias("_key")).distinct().withColumn("_twin", _switch_type(F.col("_key")))
     own = predinfo.select(F.col("pred").alias("_key"), F.col("count").alias("_count"), F.col("frame").alias("_own"))
     twin = predinfo.select(F.col("pred").alias("_twin"), F.col("frame").alias("_other"))
-    info = keys.join(own, "_key", "left").join(twin, "_twin", "left")
+    info = listed.join(own, "_key", "left").join(twin, "_twin", "left")
     frame = F.array_sort(F.array_distinct(F.coalesce("_own", "_other")))
-    group = F.concat(F.upper(F.expr("right(_key, 1)")), F.lit("-"), F.coalesce(F.array_join(frame, "_"), F.lit("NULL")))
-    info = info.withColumn("_group", F.when(F.coalesce("_count", F.lit(0)) < min_sent, group))
+    info = info.withColumn("_group", F.when(F.coalesce("_count", F.lit(0)) < min_sent, rare_name(F.col("_key"), frame)))
     sizes = info.filter("_group is not null").groupBy("_group").agg(F.count("*").alias("_size"))
-    names = info.join(sizes, "_group", "left").select(
-        "_key", F.when(F.col("_size") > 1, F.col("_group")).otherwise(F.col("_key")).alias("_name")
-    )
-    out = df.join(names, df[part] == names["_key"])
+    named = info.join(sizes, "_group", "left")
+    return named.select(F.col("_key").alias(part), F.when(F.col("_size") > 1, F.col("_group")).otherwise(F.col("_key")).alias("name"))
+
+
+def rare_name(key: Column, frame: Column) -> Column:
+    """``V-A0_A1`` from a key that ends with its class letter and a sorted frame or NULL."""
+    return F.concat(F.upper(F.right(key, F.lit(1))), F.lit("-"), F.coalesce(F.array_join(frame, "_"), F.lit("NULL")))
+
+
+def merge_rare_keys(
+    df: DataFrame, predinfo: DataFrame, min_sent: int, part: str = PART, file_attr: str | None = None
+) -> DataFrame:
+    """Rows with the keys of `rare_key_names`; ``file_attr`` keeps the key they had."""
+    names = rare_key_names(df, predinfo, min_sent, part).withColumnsRenamed({part: "_key", "name": "_name"})
+    out = df.join(names, df[part].eqNullSafe(names["_key"]))
     cols = [F.col("_name").alias(part) if c == part else F.col(c) for c in df.columns]
     return out.select(*cols, *([F.col("_key").alias(file_attr)] if file_attr else []))
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolemill.operators.counts import contingency
 from rolemill.registry import RANKERS
+from rolemill.session import fix
 
 METHODS = ("mi", "infogain", "chi2", "symmetric_uncertainty", "significance")
 
@@ -123,7 +126,7 @@ def rank_features(
 ) -> DataFrame:
     """Columns ranked by a measure, for the whole table or per key in one job."""
     if method == "relieff":
-        return ranked(relieff(df, cols, target, **options), F.col("relieff"))
+        return ranked(relieff(df, cols, target, keys=keys, **options), F.col("relieff"), keys)
     if method == "significance":
         return ranked(significance(df, cols, target, keys), F.col("significance"), keys)
     measures = association(df, cols, target, keys)
@@ -138,119 +141,199 @@ def select_ranked(ranking: DataFrame, n: int, ignore: Sequence[str] = (), keys:
     return rest.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= n)
 
 
+#: Rows of a key that are compared with its sampled rows in one task.
+RELIEF_ROWS = 50_000
+
+
+def _relief_rows(df: DataFrame, cols: Sequence[str], target: str, seed: int, row_id: str, keys: Sequence[str]) -> DataFrame:
+    """(_k, id, h, cls, words, numbers): nominal columns as text, numbers scaled by their range in the key.
+
+    A NULL is a value that equals only another NULL.
+    """
+    numbers = [c for c in cols if isinstance(df.schema[c].dataType, T.NumericType)]
+    words = [c for c in cols if c not in numbers]
+    key = F.struct(F.lit(0).alias("_0"), *keys)
+    out = df.withColumn("_k", key)
+    if numbers:
+        spans = df.groupBy(key.alias("_k")).agg(*[F.struct(F.min(c).cast("double").alias("low"), (F.max(c) - F.min(c)).cast("double").alias("range")).alias(f"_s_{c}") for c in numbers])
+        out = out.join(spans, "_k")
+    scaled = [F.when(F.col(c).isNotNull(), F.when(F.col(f"_s_{c}")["range"] > 0, (F.col(c) - F.col(f"_s_{c}")["low"]) / F.col(f"_s_{c}")["range"]).otherwise(0.0)) for c in numbers]
+    return out.select(
+        "_k", F.col(row_id).alias("id"), F.md5(F.concat(F.col(row_id).cast("string"), F.lit(f":{seed}"))).alias("h"),
+        F.coalesce(F.col(target).cast("string"), F.lit("\0")).alias("cls"),
+        F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in words]).cast("array<string>").alias("words"),
+        F.array(*scaled).cast("array<double>").alias("numbers"))
+
+
+def _near_rows(words: int, numbers: int, k: int):
+    """The k nearest rows of each class for every sampled row, among the rows of a task."""
+
+    def table(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        n = len(pdf)
+        return (np.array(pdf["words"].tolist(), object).reshape(n, words), np.array(pdf["numbers"].tolist(), float).reshape(n, numbers))
+
+    def work(rows: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows) and len(sample):
+            rows = rows.sort_values(["h", "id"]).reset_index(drop=True)
+            (w, x), (sw, sx) = table(rows), table(sample)
+            classes, code = np.unique(rows["cls"].to_numpy(object), return_inverse=True)
+            ids = rows["id"].to_numpy()
+            for a, (own, cls) in enumerate(zip(sample["id"], sample["cls"])):
+                gap = np.abs(x - sx[a])
+                lost = np.isnan(x) | np.isnan(sx[a])
+                gap[lost] = (np.isnan(x) != np.isnan(sx[a]))[lost]
+                diff = np.hstack(((w != sw[a]).astype(float), gap))
+                dist = np.where(ids == own, np.inf, np.round(diff.sum(axis=1), 9))
+                order = np.argsort(dist, kind="stable")  # ties stay in the order of hash and id
+                order = order[np.isfinite(dist[order])]
+                for c in range(len(classes)):
+                    near = order[code[order] == c][:k]
+                    out += [(own, cls, classes[c], dist[i], rows["h"][i], ids[i], diff[i].tolist()) for i in near]
+        made = pd.DataFrame(out, columns=["anchor", "a_cls", "cls", "dist", "h", "id", "diff"])
+        return made.assign(_k=[(rows if len(rows) else sample)["_k"].iloc[0]] * len(made))[["_k", *made.columns]]
+
+    return work
+
+
 def relieff(
-    df: DataFrame, cols: Sequence[str], target: str, m: int, k: int, seed: int, row_id: str = "row_id"
+    df: DataFrame, cols: Sequence[str], target: str, m: int, k: int, seed: int, row_id: str = "row_id", keys: Sequence[str] = ()
 ) -> DataFrame:
-    """(column, relieff) from m seeded rows and their k nearest hits and misses.
+    """(keys…, column, relieff) from m seeded rows of each key and their k nearest hits and misses.
 
-    The m rows (a parameter, not the data) travel to every task. A task keeps
-    only its k nearest rows per sampled row and class, so at most
-    ``m * k * classes`` rows leave it. Distance = number of differing columns;
-    ties by the hash that also draws the sample, then row id.
+    A key's rows are dealt to tasks of bounded size, which its m sampled rows visit; a task
+    keeps only the k nearest rows per sampled row and class, so at most ``m * k * classes``
+    rows leave it. Distance: nominal columns count 1 if they differ, numbers by their
+    difference over the range in the key; ties by the hash that also draws the
+    sample, then row id.
     """
     cols = list(cols)
-    hashed = F.md5(F.concat(F.col(row_id).cast("string"), F.lit(f":{seed}")))
-    data = df.select(
-        F.col(row_id).alias("id"), hashed.alias("h"), F.col(target).cast("string").alias("cls"),
-        *[F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(c) for c in cols],
-    )
-    anchors = [r.asDict() for r in data.orderBy("h", "id").limit(m).collect()]
-    priors = {r["cls"]: r["n"] for r in data.groupBy("cls").agg(F.count("*").alias("n")).collect()}
-    total = sum(priors.values())
-
-    def nearest(batches):
-        best = None
-        for pdf in batches:
-            found = [] if best is None else [best]
-            for i, a in enumerate(anchors):
-                rows = pdf[pdf["id"] != a["id"]]
-                dist = sum((rows[c] != a[c]).astype("int64") for c in cols)
-                near = rows.assign(anchor=i, dist=dist).sort_values(["dist", "h", "id"]).groupby("cls", dropna=False).head(k)
-                found.append(near)
-            best = pd.concat(found).sort_values(["dist", "h", "id"]).groupby(["anchor", "cls"], dropna=False).head(k)
-        if best is not None:
-            yield best[["anchor", "dist", "h", "id", "cls", *cols]]
-
-    text = ", ".join(f"`{c}` string" for c in cols)
-    local = data.mapInPandas(nearest, f"anchor long, dist long, h string, id long, cls string, {text}")
-    order = Window.partitionBy("anchor", "cls").orderBy("dist", "h", "id")
-    near = local.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
-    sample = df.sparkSession.createDataFrame(
-        [(i, a["cls"], *[a[c] for c in cols]) for i, a in enumerate(anchors)],
-        "anchor long, a_cls string, " + ", ".join(f"`a_{c}` string" for c in cols),
-    )
-    share = F.create_map(*[x for c, n in priors.items() for x in (F.lit(c), F.lit(n / total))])
-    pairs = near.join(sample, "anchor")
-    hit = F.col("cls") == F.col("a_cls")
+    numbers = [c for c in cols if isinstance(df.schema[c].dataType, T.NumericType)]
+    order = [*[c for c in cols if c not in numbers], *numbers]
+    data = fix(_relief_rows(df, cols, target, seed, row_id, keys))
+    first = Window.partitionBy("_k").orderBy("h", "id")
+    sample = fix(data.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= m).drop("_r"))
+    sizes = fix(data.groupBy("_k", "cls").agg(F.count("*").alias("n")))
+    totals = fix(sizes.groupBy("_k").agg(F.sum("n").alias("total"), F.ceil(F.sum("n") / RELIEF_ROWS).cast("int").alias("_parts")))
+    dealt = data.join(totals.select("_k", "_parts"), "_k").withColumn("_b", F.pmod(F.xxhash64("h"), F.col("_parts")).cast("int"))
+    visits = sample.join(totals.select("_k", "_parts"), "_k").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    fields = ", ".join(["_0:int", *[f"`{c}`:{df.schema[c].dataType.simpleString()}" for c in keys]])
+    kind = f"_k struct<{fields}>, anchor {data.schema['id'].dataType.simpleString()}, a_cls string, cls string, dist double, h string, id {data.schema['id'].dataType.simpleString()}, diff array<double>"
+    visits = visits.toDF(*visits.columns)  # columns of its own beside ``dealt``
+    local = dealt.groupBy("_k", "_b").cogroup(visits.groupBy("_k", "_b")).applyInPandas(_near_rows(len(cols) - len(numbers), len(numbers), k), kind)
+    nearest = Window.partitionBy("_k", "anchor", "cls").orderBy("dist", "h", "id")
+    near = local.withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") <= k)
+    share = sizes.join(totals, "_k").select("_k", "cls", (F.col("n") / F.col("total")).alias("p"))
+    near = near.join(share, ["_k", "cls"]).join(share.select("_k", F.col("cls").alias("a_cls"), F.col("p").alias("q")), ["_k", "a_cls"])
+    near = near.join(sample.groupBy("_k").agg(F.count("*").alias("_m")), "_k")
     # a miss counts by its class's share among the other classes
-    sizes = Window.partitionBy("anchor", "cls")
-    weight = F.when(hit, F.lit(-1.0)).otherwise(share[F.col("cls")] / (1 - share[F.col("a_cls")]))
-    pairs = pairs.withColumn("_w", weight / F.count("*").over(sizes) / len(anchors))
-    sums = pairs.agg(*[F.sum(F.when(F.col(c) != F.col(f"a_{c}"), F.col("_w")).otherwise(0.0)).alias(c) for c in cols])
+    weight = F.when(F.col("cls") == F.col("a_cls"), F.lit(-1.0)).otherwise(F.col("p") / (1 - F.col("q")))
+    near = near.withColumn("_w", weight / F.count("*").over(Window.partitionBy("_k", "anchor", "cls")) / F.col("_m"))
+    sums = near.groupBy("_k").agg(*[F.sum(F.col("diff")[i] * F.col("_w")).alias(c) for i, c in enumerate(order)])
     rows = [F.struct(F.lit(c).alias("column"), F.col(c).alias("relieff")) for c in cols]
-    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return sums.select(*[F.col(f"_k.`{c}`").alias(c) for c in keys], F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")
 
 
-def pair_information(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """(keys…, a, b, mi) for all pairs of columns, a before b, in one job.
+def _counted_pairs(df: DataFrame, cols: Sequence[str], needs: DataFrame) -> DataFrame:
+    """(_k, a, b, h): joint entropy of the wanted pairs of columns of each key (a = b: of the column).
 
-    Pairs and single columns are counted together; their entropies give MI.
-    The unpivot has columns² / 2 entries per row, summed up before the shuffle.
+    ``needs``: (_k, pairs). Equal cells are summed up before the shuffle.
     """
+    values = F.create_map(*[x for c in cols for x in (F.lit(c), F.col(c).cast("string"))])
+    cells = df.withColumn("_values", values).join(needs, "_k").select("_k", "_values", F.explode("pairs").alias("p"))
+    cells = cells.select("_k", "p.a", "p.b", F.element_at("_values", F.col("p.a")).alias("va"), F.element_at("_values", F.col("p.b")).alias("vb"))
+    counts = cells.groupBy("_k", "a", "b", "va", "vb").agg(F.count("*").cast("double").alias("n"))
+    return counts.groupBy("_k", "a", "b").agg((F.log2(F.sum("n")) - F.sum(_xlog(F.col("n"))) / F.sum("n")).alias("h"))
+
+
+def pair_information(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys…, a, b, mi) for all pairs of columns, a before b, in one job."""
     cols = list(cols)
-    cells = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            cells.append(F.struct(
-                F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("string").alias("va"), F.col(b).cast("string").alias("vb")
-            ))
-    counts = df.select(*keys, F.explode(F.array(*cells)).alias("c")).groupBy(
-        *keys, "c.a", "c.b", "c.va", "c.vb"
-    ).agg(F.count("*").cast("double").alias("n"))
-    entropy = counts.groupBy(*keys, "a", "b").agg(
-        (F.log2(F.sum("n")) - F.sum(_xlog(F.col("n"))) / F.sum("n")).alias("h")
-    )
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for i, a in enumerate(cols) for b in cols[i:]])
+    keyed = df.withColumn("_k", F.struct(F.lit(0).alias("_0"), *keys))
+    entropy = _counted_pairs(keyed, cols, keyed.select("_k").distinct().withColumn("pairs", pairs))
     single = entropy.filter("a = b")
-    left = single.select(*keys, "a", F.col("h").alias("ha"))
-    right = single.select(*keys, "b", F.col("h").alias("hb"))
-    pairs = entropy.filter("a <> b").join(left, [*keys, "a"]).join(right, [*keys, "b"])
-    return pairs.select(*keys, "a", "b", F.greatest(F.col("ha") + F.col("hb") - F.col("h"), F.lit(0.0)).alias("mi"))
+    left = single.select("_k", "a", F.col("h").alias("ha"))
+    right = single.select("_k", "b", F.col("h").alias("hb"))
+    found = entropy.filter("a <> b").join(left, ["_k", "a"]).join(right, ["_k", "b"])
+    mi = F.greatest(F.col("ha") + F.col("hb") - F.col("h"), F.lit(0.0))
+    return found.select(*[F.col(f"_k.`{c}`").alias(c) for c in keys], "a", "b", mi.alias("mi"))
+
+
+def choose(cols: Sequence[str], target: str, entropy: dict, n: int, beam: int, ahead: int) -> tuple[list, list]:
+    """(rows chosen so far, pairs still wanted) of the greedy rounds on the entropies that are known.
+
+    Redundancy is a running sum per column left: a round adds the information it shares
+    with the column chosen last. Wanted are that column's pairs and those of the
+    ``ahead`` - 1 most relevant columns left, which are likely to come next.
+    """
+
+    def known(a, b):
+        return (a, b) in entropy or (b, a) in entropy
+
+    def mi(a, b):
+        h = entropy[a, b] if (a, b) in entropy else entropy[b, a]
+        return round(max(entropy[a, a] + entropy[b, b] - h, 0.0), 9)
+
+    if not entropy:
+        return [], [(c, c) for c in [*cols, target]] + [(c, target) for c in cols]
+    relevance = {c: mi(c, target) for c in cols}
+    left = sorted(cols, key=lambda c: (-relevance[c], cols.index(c)))
+    shared, upto = dict.fromkeys(cols, 0.0), dict.fromkeys(cols, 0)
+    chosen, rows = [], []
+    while left and len(chosen) < n:
+        tried = left[:beam] if beam > 0 and chosen else left
+        wanted = [(c, d) for c in tried for d in chosen[upto[c]:] if not known(c, d)]
+        if wanted:
+            likely = [(c, d) for d in left[: ahead - 1] for c in tried if c != d]
+            once = {frozenset(p): p for p in [*wanted, *likely] if not known(*p)}
+            return rows, list(once.values())
+        for c in tried:
+            shared[c] += sum(mi(c, d) for d in chosen[upto[c]:])
+            upto[c] = len(chosen)
+        scored = [(relevance[c] - shared[c] / max(len(chosen), 1), c) for c in tried]
+        score, best = max(scored, key=lambda x: round(x[0], 9))
+        chosen.append(best)
+        left.remove(best)
+        rows.append((len(rows) + 1, best, round(score, 9)))
+    return rows, []
 
 
 def mrmr(
-    df: DataFrame, cols: Sequence[str], target: str, n: int | None = None, beam: int = 0, keys: Sequence[str] = ()
+    df: DataFrame, cols: Sequence[str], target: str, n: int | None = None, beam: int = 0, keys: Sequence[str] = (), ahead: int = 4
 ) -> DataFrame:
     """Minimum redundancy, maximum relevance order of columns, per key.
 
-    The greedy loop runs on the pair table: columns² rows per key, whatever the
-    size of the data. ``beam`` > 0 looks at the best that many candidates only.
+    Pairs of columns are counted when a round needs them: those of the columns left (of the
+    ``beam`` most relevant ones, if given) with the columns chosen, so about
+    n times columns pairs instead of all. Each round is one job over all keys; the choice
+    itself runs per key on the entropies found so far.
     """
     cols, n = list(cols), n or len(cols)
-    pairs = pair_information(df, [*cols, target], keys)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        mi = {}
-        for a, b, v in zip(pdf["a"], pdf["b"], pdf["mi"]):
-            mi[a, b] = mi[b, a] = round(v, 9)
-        left = sorted(cols, key=lambda c: (-mi[c, target], cols.index(c)))
-        chosen, rows = [], []
-        while left and len(chosen) < n:
-            scored = [
-                (mi[c, target] - sum(mi[c, d] for d in chosen) / max(len(chosen), 1), c)
-                for c in (left[:beam] if beam > 0 and chosen else left)
-            ]
-            score, best = max(scored, key=lambda s: round(s[0], 9))
-            chosen.append(best)
-            left.remove(best)
-            rows.append({"rank": len(rows) + 1, "column": best, "score": round(score, 9)})
-        out = pd.DataFrame(rows)
-        for key in keys:
-            out[key] = pdf[key].iloc[0]
-        return out[[*keys, "rank", "column", "score"]]
-
-    types = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
-    schema = f"{types}rank long, column string, score double"
-    return pairs.withColumn("_all", F.lit(1)).groupBy(*(keys or ["_all"])).applyInPandas(pick, schema)
+    keyed = df.withColumn("_k", F.struct(F.lit(0).alias("_0"), *keys))
+    state = fix(keyed.select("_k").distinct())
+    kind = state.schema["_k"].dataType.simpleString()
+    state = state.select("_k", F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("double").alias("h"))
+
+    def step(pdf: pd.DataFrame) -> tuple[list, list]:
+        entropy = {(a, b): h for a, b, h in zip(pdf["a"], pdf["b"], pdf["h"]) if a is not None}
+        return choose(cols, target, entropy, n, beam, ahead)
+
+    def wants(pdf: pd.DataFrame) -> pd.DataFrame:
+        pairs = step(pdf)[1]
+        return pd.DataFrame({"_k": [pdf["_k"].iloc[0]], "pairs": [[{"a": a, "b": b} for a, b in pairs]]})
+
+    def result(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(step(pdf)[0], columns=["rank", "column", "score"])
+        return out.assign(_k=[pdf["_k"].iloc[0]] * len(out))[["_k", "rank", "column", "score"]]
+
+    while True:
+        needs = fix(state.groupBy("_k").applyInPandas(wants, f"_k {kind}, pairs array<struct<a:string,b:string>>").filter(F.size("pairs") > 0))
+        if needs.isEmpty():
+            break
+        state = fix(state.unionByName(_counted_pairs(keyed, [*cols, target], needs)))
+    picked = state.groupBy("_k").applyInPandas(result, f"_k {kind}, rank long, column string, score double")
+    return picked.select(*[F.col(f"_k.`{c}`").alias(c) for c in keys], "rank", "column", "score")
 
 
 def mrmr_score(df: DataFrame, chosen: Sequence[str], target: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -264,20 +347,20 @@ def mrmr_score(df: DataFrame, chosen: Sequence[str], target: str, keys: Sequence
     )
 
 
-def average_ranks(rankings: DataFrame, n: int | None = None, first: int = 1) -> DataFrame:
-    """Mean order of several rankings (ranking, column, rank).
+def average_ranks(rankings: DataFrame, n: int | None = None, first: int = 1, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean order of several rankings (keys…, ranking, column, rank), of each key on its own.
 
     A column scores the list length minus its 0-based place, summed over the
     rankings; ties go by the ranking numbered ``first``. Lengths must agree.
     """
-    lengths = rankings.groupBy("ranking").agg(F.count("*").alias("len"))
-    if lengths.select("len").distinct().count() > 1:
+    lengths = rankings.groupBy(F.struct(F.lit(0), *keys).alias("_k"), "ranking").agg(F.count("*").alias("len"))
+    if not lengths.groupBy("_k").agg(F.count_distinct("len").alias("n")).filter("n > 1").isEmpty():
         raise ValueError("rankings differ in length")
-    summed = rankings.join(lengths, "ranking").groupBy("column").agg(
+    summed = rankings.withColumn("_k", F.struct(F.lit(0), *keys)).join(lengths, ["_k", "ranking"]).groupBy(*keys, "column").agg(
         F.sum(F.col("len") - F.col("rank") + 1).alias("score"),
         F.min(F.when(F.col("ranking") == first, F.col("rank"))).alias("_tie"),
     )
-    order = Window.orderBy(F.desc("score"), "_tie", "column")
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "_tie", "column")
     out = summed.withColumn("rank", F.row_number().over(order).cast("long")).drop("_tie")
     return out if n is None else out.filter(F.col("rank") <= n)
 

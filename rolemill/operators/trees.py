@@ -99,7 +99,7 @@ def candidate_rows(
     if prune:
         up = tree_paths(tokens, (), sent).withColumnsRenamed({"word_id": "pred_word", "up": "pred_up"})
         side = side.join(up, [*sent, "pred_word"])
-    kept = tokens.filter(~F.col("pos").isin(list(drop_pos))) if drop_pos else tokens
+    kept = tokens.filter(F.coalesce(~F.col("pos").isin(list(drop_pos)), F.lit(True))) if drop_pos else tokens
     rows = kept.join(side, list(sent))
     if pred_only:
         rows = rows.filter(F.col("word_id") == F.col("pred_word"))

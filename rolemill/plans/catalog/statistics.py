@@ -274,6 +274,47 @@ def rank_features_relieff(spark, sf):
     return ranking.rank_features(_relief_rows(spark, sf), _RELIEF_COLS, "flag", "relieff", m=_M, k=_K, seed=11)
 
 
+# numbers count by their difference over the range in the key, a NULL equals only another NULL
+_near = "x_status + x_qty + x_disc"
+_RELIEF_KEYED = f"""WITH d AS (SELECT id, md5(CAST(id AS VARCHAR) || ':11') AS h, * EXCLUDE (id) FROM (
+    SELECT l_orderkey * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + l_linenumber AS id, 's' || (max(l_suppkey) % 7) AS part_key, max(l_linestatus) AS status,
+    CASE WHEN max(l_linenumber) = 7 THEN NULL ELSE round(max(l_quantity)) END AS qty, round(max(l_discount) * 100) AS disc, max(l_returnflag) AS flag FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber) AS l),
+  r AS (SELECT part_key, max(qty) - min(qty) AS rq, max(disc) - min(disc) AS rd, count(*) AS n FROM d GROUP BY part_key),
+  a AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY part_key ORDER BY h, id) <= {_M}),
+  p AS (SELECT part_key, flag, count(*) / any_value(r.n) AS pr FROM d JOIN r USING (part_key) GROUP BY part_key, flag),
+  x AS (SELECT d.part_key, a.id AS aid, a.flag AS af, d.flag AS df, d.h AS h, d.id AS id, CAST(d.status <> a.status AS DOUBLE) AS x_status,
+    CASE WHEN d.qty IS NULL AND a.qty IS NULL THEN 0.0 WHEN d.qty IS NULL OR a.qty IS NULL THEN 1.0 ELSE abs(d.qty - a.qty) / rq END AS x_qty, abs(d.disc - a.disc) / rd AS x_disc
+    FROM d JOIN a ON a.part_key = d.part_key AND a.id <> d.id JOIN r ON r.part_key = d.part_key),
+  near AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY part_key, aid, df ORDER BY round({_near}, 9), h, id) <= {_K}),
+  w AS (SELECT near.*, CASE WHEN df = af THEN -1.0 ELSE p1.pr / (1 - p2.pr) END / count(*) OVER (PARTITION BY near.part_key, aid, df) / {_M} AS w
+    FROM near JOIN p AS p1 ON p1.flag = df AND p1.part_key = near.part_key JOIN p AS p2 ON p2.flag = af AND p2.part_key = near.part_key),
+  s AS ({' UNION ALL '.join(f"SELECT part_key, '{c}' AS col, round(sum(x_{c} * w), 6) AS score FROM w GROUP BY part_key" for c in ("status", "qty", "disc"))})
+  SELECT part_key, col AS "column", score FROM s"""
+
+
+@query("rank_features_relieff_by_key", _RELIEF_KEYED)
+def rank_features_relieff_by_key(spark, sf):
+    """Sampled rows and ranges of each key, with numbers and NULLs."""
+    key = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    row_id = F.col("l_orderkey") * 1000000000000 + F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")
+    rows = table(spark, sf, "lineitem").groupBy(*key).agg(
+        F.max("l_linestatus").alias("status"), F.round(F.max("l_quantity")).alias("q"), F.round(F.max("l_discount") * 100).alias("disc"), F.max("l_returnflag").alias("flag"))
+    rows = rows.select(
+        row_id.alias("row_id"), F.concat(F.lit("s"), (F.col("l_suppkey") % 7).cast("string")).alias("part_key"), "status",
+        F.when(F.col("l_linenumber") != 7, F.col("q")).alias("qty"), "disc", "flag")
+    out = ranking.rank_features(rows, ["status", "qty", "disc"], "flag", "relieff", ["part_key"], m=_M, k=_K, seed=11)
+    return out.select("part_key", "column", F.round("score", 6).alias("score"))
+
+
+@query("average_ranks_by_key", f"""WITH {NOMINAL_SQL}, {measures_sql(NOMINAL, 'flag', ['part_key'])},
+  r AS (SELECT part_key, col, row_number() OVER (PARTITION BY part_key ORDER BY round(mi, 9) DESC, col) AS a, row_number() OVER (PARTITION BY part_key ORDER BY round(chi2, 9) DESC, col) AS b FROM measures)
+  SELECT part_key, col AS "column", 12 - a - b AS score, row_number() OVER (PARTITION BY part_key ORDER BY 12 - a - b DESC, a, col) AS rank FROM r""")
+def average_ranks_by_key(spark, sf):
+    rows = nominal(spark, sf)
+    both = [ranking.rank_features(rows, NOMINAL, "flag", m, ["part_key"]).select("part_key", "column", "rank").withColumn("ranking", F.lit(i)) for i, m in enumerate(("mi", "chi2"), 1)]
+    return ranking.average_ranks(both[0].unionByName(both[1]), keys=["part_key"])
+
+
 def _pairs_sql(cols):
     parts = [
         f"SELECT '{a}' AS a, '{b}' AS b, CAST({a} AS VARCHAR) AS va, CAST({b} AS VARCHAR) AS vb, CAST(count(*) AS DOUBLE) AS n FROM nominal GROUP BY ALL"
