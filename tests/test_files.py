@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolemill.plans.labelling import score_pipeline
+from rolemill.plans.labelling import Settings, Stage, evaluate_run, fit_stage, score_pipeline
 from rolemill.sources import arff, conll, lexicons
 from rolemill.tables import domain_of
 
@@ -90,8 +90,65 @@ def test_partitioned_output(spark, tmp_path):
 def test_two_stage_run(spark):
     tokens = golden.tokens(spark).filter("sent_id = 1")
     lang = conll.Language(noun="N.*", verb="V.*")
-    text = score_pipeline(tokens, golden.args(spark), tokens, lang, chunks=2, steps=30).first()["text"]
+    gold = tokens, golden.args(spark)
+    found = score_pipeline(*gold, *gold, tokens, lang, Settings(chunks=2, steps=30))
+    text = found.text().first()["text"]
     lines = [line.split("\t") for line in text.split("\n")]
     assert len(lines) == 25 and all(len(x) == 18 for x in lines)
     assert lines[6][13] == "take.01" and lines[0][13] == "_"
     assert any(role.startswith("A") for x in lines for role in x[14:])
+    figures = {(r["stage"], r["kind"]): r for r in evaluate_run(*gold, found).collect()}
+    assert figures["senses", "labeled"]["f1"] == 1.0 and figures["senses", "labeled"]["n"] == 4
+    assert figures["roles", "unlabeled"]["tp"] >= figures["roles", "labeled"]["tp"] > 0
+
+
+def test_stage_by_key(spark, tmp_path):
+    """Keys with one label, with and without development rows, unknown ones; saved and loaded."""
+    rows = [("p", f"x{i % 2}", f"n{i % 5}", "A" if i % 2 else "B") for i in range(20)] + [("o", f"x{i % 2}", f"n{i % 5}", "B" if i % 2 else "A") for i in range(20)]
+    rows += [("u", "x1", "n1", "C"), ("u", "x0", "n2", "C"), (None, "x1", "n1", "A"), (None, "x0", "n1", "B")]
+    train = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, part_key string, a string, b string, label string")
+    dev = train.filter("part_key = 'p'")
+    s = Settings(methods=("mi", "average"), orphan_columns=1)
+    stage = fit_stage(train, dev, "label", ["a", "b"], ["id"], s)
+    assert {(r["part_key"], tuple(r["use"])) for r in stage.chosen.collect()} == {("p", ("a",)), ("o", ("a",)), (None, ())}
+    stage.save(str(tmp_path / "stage"))
+    again = Stage.load(spark, str(tmp_path / "stage"))
+    test = train.unionByName(spark.createDataFrame([(99, "new", "x1", "n1", "?")], train.schema)).withColumn("gold", F.col("label"))
+    for st in (stage, again):
+        got = {r["id"]: (r["part_key"], r["gold"], r["label"]) for r in st.apply(test, ["id"]).collect()}
+        assert all(g == p for k, g, p in got.values() if k in ("p", "o", "u")) and got[99][2] is None
+        probs = {r["id"]: r for r in st.apply(test, ["id"], ["A", "B", "C"]).collect()}
+        assert probs[99]["label_A"] == 0 and [r["label_C"] for r in probs.values() if r["part_key"] == "u"] == [1.0, 1.0]
+
+
+def test_arff_of_other_tools(spark, tmp_path):
+    text = """@RELATION 'r 1'
+@ATTRIBUTE 'a b' {'p, q','?', "it's"}
+@attribute n REAL
+@attribute s string
+@data
+% a note, 'x'
+'p, q', 1.5 , 'line\\nbreak, "quoted" \\'x\\' \\\\n'
+'?',?,?
+  "it's" ,-2e3,plain text
+{0 "it's", 2 'x, y'}
+{1 7}
+?,bad,"@data"
+"""
+    (tmp_path / "a.arff").write_text(text)
+    df = arff.read_table_arff(spark, str(tmp_path / "a.arff"))
+    assert domain_of(df, "a b") == ["p, q", "?", "it's"]
+    assert [tuple(r) for r in df.collect()] == [
+        ("p, q", 1.5, 'line\nbreak, "quoted" \'x\' \\n'), ("?", None, None), ("it's", -2000.0, "plain text"),
+        ("it's", 0.0, "x, y"), ("p, q", 7.0, None), (None, None, "@data")]
+    odd = spark.createDataFrame([("?", "a\nb\r\t\\n"), (None, "'q' \"q\","), ("", "x" * 50_000), ("{0 1}", "% no note")], "u string, v string")
+    arff.write_table_arff(odd, str(tmp_path / "odd"))
+    assert sorted(map(str, arff.read_table_arff(spark, str(tmp_path / "odd")).collect())) == sorted(map(str, odd.collect()))
+
+
+def test_conll_with_two_line_ends(spark, tmp_path):
+    text = "1\ta\n2\tb\n\n1\tc\n\n"
+    for name, t in (("lf", text), ("crlf", text.replace("\n", "\r\n"))):
+        (tmp_path / name).write_bytes(t.encode())
+        tokens, _ = conll.read_conll(spark, str(tmp_path / name))
+        assert [(r["sent_id"], r["form"]) for r in tokens.orderBy("sent_id", "word_id").collect()] == [(1, "a"), (1, "b"), (2, "c")]
