@@ -4,9 +4,9 @@ A vocabulary of this kind splits a text into pre-tokens that never hold white
 space, so a text's ids are those of its words one after the other, and every
 distinct word is encoded once. Pre-tokens are held as one ragged array of symbol
 numbers. A round looks at each sequence's lowest-ranked neighbouring pair and
-merges its leftmost occurrence in all sequences at the same time; only the two
-pairs beside each merge get a new rank. A sequence leaves when no pair of it is
-in the merge list. The surviving symbols are the token ids.
+merges it wherever it stands, in all sequences at the same time; only the pairs
+beside a merge get a new rank. A sequence leaves when no pair of it is in the
+merge list. The surviving symbols are the token ids.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ import regex
 from tokenizers import Tokenizer
 
 NONE = np.int64(1) << 40
-# Characters below U+0250 but two spaces are stable under NFC and lower-cased one
-# by one. Words with others, or with what begins a special token, go to the library.
+# Characters below U+0250 but two spaces are stable under NFC and lower-cased one by
+# one. Words with others are normalised and cut into pre-tokens by the vocabulary's own
+# rules; only words with what begins a special token are encoded by the library.
 ODD = regex.compile(rb"[\xca-\xf4]|\xc9[\x90-\xbf]|\xc2[\x85\xa0]|<\|")
 MAX_CACHE = 400_000
 BREAKS = regex.compile(rb"[\x20\x09-\x0d]+")
@@ -82,33 +83,40 @@ class WordBpe:
 
     def encode(self, units: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each unit."""
-        odd = [i for i, u in enumerate(units) if ODD.search(u)]
-        if not odd:
-            return self._encode_plain(units)
-        apart = set(odd)
-        rest = [i for i in range(len(units)) if i not in apart]
+        plain, odd, marked = [], [], []
+        for i, u in enumerate(units):
+            (plain if not ODD.search(u) else marked if b"<|" in u else odd).append(i)
         out: list[bytes] = [b""] * len(units)
-        for i, ids in zip(rest, self._encode_plain([units[i] for i in rest]), strict=True):
+        tokens, counts = self._plain_tokens([units[i] for i in plain])
+        for i in odd:
+            found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(units[i].decode("utf-8")))
+            tokens += [bytes(self.byte_of[c] for c in t) for t, _ in found]
+            counts.append(len(found))
+        for i, ids in zip([*plain, *odd], self._merge(tokens, counts), strict=True):
             out[i] = ids
-        found = self.library.encode_batch([units[i].decode("utf-8") for i in odd], add_special_tokens=False)
-        for i, e in zip(odd, found, strict=True):
+        found = self.library.encode_batch([units[i].decode("utf-8") for i in marked], add_special_tokens=False)
+        for i, e in zip(marked, found, strict=True):
             out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def _encode_plain(self, units: list[bytes]) -> list[bytes]:
+    def _plain_tokens(self, units: list[bytes]) -> tuple[list[bytes], list[int]]:
+        """The pre-tokens of all units, and how many each has."""
         if not units:
-            return []
+            return [], []
         found = self.pattern.findall(b" ".join(units).decode("utf-8").lower())
         gap = np.array([f == " " for f in found], bool)
         owner = np.cumsum(gap)[~gap]
         tokens = " ".join([f for f in found if f != " "]).encode().split(b" ") if len(owner) else []
+        return tokens, np.bincount(owner, minlength=len(units)).tolist()
+
+    def _merge(self, tokens: list[bytes], counts: list[int]) -> list[bytes]:
+        """The ids of each run of ``counts`` pre-tokens."""
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
         flat = self.inner[np.frombuffer(b"".join(tokens), np.uint8)]
-        ends = np.cumsum(sizes)
         if len(tokens):
-            flat[ends - 1] = self.last[np.frombuffer(b"".join(t[-1:] for t in tokens), np.uint8)]
+            flat[np.cumsum(sizes) - 1] = self.last[np.frombuffer(b"".join(t[-1:] for t in tokens), np.uint8)]
         symbols, left = merge_ragged(flat, sizes, self)
-        per_unit = np.bincount(owner, weights=left, minlength=len(units)).astype(np.int64)
+        per_unit = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=left, minlength=len(counts)).astype(np.int64)
         at = np.append(0, np.cumsum(per_unit)) * 4
         raw = symbols.astype("<u4").tobytes()
         return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -120,44 +128,53 @@ class WordBpe:
 
 
 def merge_ragged(flat: np.ndarray, sizes: np.ndarray, bpe: WordBpe) -> tuple[np.ndarray, np.ndarray]:
-    """Merge all sequences side by side; gives the symbols and sequence lengths left."""
-    n, row = len(sizes), np.arange(len(sizes))
+    """Merge all sequences side by side; gives the symbols and sequence lengths left.
+
+    A round merges each sequence's lowest pair wherever it stands, from left to right. The
+    pairs this makes rank higher, as a symbol is made before it is used, so the order is
+    that of single merges. A sequence takes as many rounds as it has ranks, not as
+    it has places.
+    """
+    row = np.arange(len(sizes))
     final, final_row = [], []
     left = sizes.copy()
     # rank of (symbol, next symbol); the last symbol of a sequence has no pair
     rank = np.full(len(flat), NONE)
-    last = np.cumsum(sizes) - 1
     inside = np.ones(len(flat), bool)
-    inside[last] = False
+    inside[np.cumsum(sizes) - 1] = False
     at = np.flatnonzero(inside)
     rank[at] = bpe.rank(flat[at], flat[at + 1])
-    while n:
-        starts = np.append(0, np.cumsum(sizes)[:-1])
-        place = np.arange(len(flat))
-        lowest = np.minimum.reduceat((rank << 22) | (place - np.repeat(starts, sizes)), starts)
-        open_ = lowest < (NONE << 22)
+    while len(sizes):
+        starts = np.cumsum(sizes) - sizes
+        lowest = np.minimum.reduceat(rank, starts)
+        open_ = lowest < NONE
         if not open_.all():
             keep = np.repeat(open_, sizes)
             final.append(flat[~keep])
             final_row.append(np.repeat(row[~open_], sizes[~open_]))
             left[row[~open_]] = sizes[~open_]
             flat, rank, row, sizes, lowest = flat[keep], rank[keep], row[open_], sizes[open_], lowest[open_]
-            n = len(sizes)
-            if not n:
+            if not len(sizes):
                 break
-            starts = np.append(0, np.cumsum(sizes)[:-1])
-        hit = starts + (lowest & ((1 << 22) - 1))
-        flat[hit] = bpe.merged[lowest >> 22]
-        ends = starts + sizes
+        low = np.repeat(lowest, sizes)
+        hit = np.flatnonzero(rank == low)
+        # a pair of equal symbols overlaps itself: every other place of a run counts
+        run = np.flatnonzero(np.diff(hit, prepend=-2) != 1)
+        hit = hit[(np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))) % 2 == 0]
+        flat[hit] = bpe.merged[low[hit]]
         keep = np.ones(len(flat), bool)
         keep[hit + 1] = False
-        more = hit + 2 < ends
-        rank[hit] = NONE
-        rank[hit[more]] = bpe.rank(flat[hit[more]], flat[hit[more] + 2])
-        before = hit > starts
-        rank[hit[before] - 1] = bpe.rank(flat[hit[before] - 1], flat[hit[before]])
-        flat, rank = flat[keep], rank[keep]
-        sizes = sizes - 1
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        sizes = sizes - np.bincount(owner[hit], minlength=len(sizes))
+        place = np.cumsum(keep) - 1
+        flat, rank, owner = flat[keep], rank[keep], owner[keep]
+        new = place[hit]
+        new = np.unique(np.concatenate((new, new[new > 0] - 1)))
+        last = np.ones(len(flat), bool)
+        last[:-1] = owner[1:] != owner[:-1]
+        rank[new[last[new]]] = NONE
+        new = new[~last[new]]
+        rank[new] = bpe.rank(flat[new], flat[new + 1])
     if not final:
         return flat[:0], left
     symbols, rows = np.concatenate(final), np.concatenate(final_row)
