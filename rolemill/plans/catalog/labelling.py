@@ -447,9 +447,3 @@ def two_stage_evaluation(spark, sf):
     gold, found = _run(spark, sf)
     figures = evaluate_run(*gold, found)
     return figures.select("stage", "kind", "n", "tp", "fp", "tn", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall")])
-
-
-@query("score_pipeline_text")
-def two_stage_text(spark, sf):
-    text = _run(spark, sf)[1].text()
-    return text.agg(F.count("*").alias("sentences"), F.sum(F.length("text")).alias("characters"))

@@ -77,10 +77,46 @@ def score_sentences(spark, sf):
         batch.filter("sent_id >= 0").write.mode("append").parquet(out)
 
     writer = scoring.score_sentences(stream, score, sink, "ts", ["sent_id"], ["word_id", "pos"], gap="1 second", delay="0 seconds")
+    _in_two_runs(spark, writer, end, source)
+    return spark.read.parquet(out)
+
+
+def _in_two_runs(spark, writer, end, source):
+    """All words, then the one that closes the open sentences."""
     log = scratch_path(spark, "words-log")
     for part in (None, end):
         if part is not None:
             part.write.mode("append").parquet(source)
         run = writer.option("checkpointLocation", log).trigger(availableNow=True).start()
         run.awaitTermination()
-    return spark.read.parquet(out)
+
+
+# weights of two models that the key of a word picks: (key, feature) to class scores
+_STREAM_WEIGHTS = {("k0", "BIAS"): {"X": 1.0, "Y": 0.0, "Z": 0.5}, ("k0", "deprel=R1"): {"Y": 4.0}, ("k0", "deprel=R3"): {"Z": 2.0, "X": -1.0},
+                   ("k1", "BIAS"): {"X": 0.0, "Y": 1.0, "Z": 0.0}, ("k1", "deprel=R0"): {"Z": 3.0}, ("k1", "deprel=R4"): {"X": 2.5}}
+
+
+@query("score_sentences_model", "WITH " + TOKENS_SQL + """, l AS (SELECT sent_id, word_id, CASE WHEN length(form) % 2 = 0
+    THEN CASE deprel WHEN 'R1' THEN 'Y' WHEN 'R3' THEN 'Z' ELSE 'X' END ELSE CASE deprel WHEN 'R0' THEN 'Z' WHEN 'R4' THEN 'X' ELSE 'Y' END END AS label FROM tokens)
+  SELECT sent_id, count(*) AS words, string_agg(label, '' ORDER BY word_id) AS labels FROM l GROUP BY sent_id""")
+def score_sentences_model(spark, sf):
+    """Whole sentences scored by keyed models; a batch that comes twice is there once."""
+    words = corpus.tokens(spark, sf).select(
+        "sent_id", "word_id", "deprel", F.concat(F.lit("k"), (F.length("form") % 2).cast("string")).alias("part_key"), F.timestamp_seconds(F.col("sent_id")).alias("ts"))
+    source, out = scratch_path(spark, "words"), scratch_path(spark, "labels")
+    words.write.parquet(source)
+    end = words.agg(F.lit(-1).cast("long").alias("sent_id"), F.lit(1).alias("word_id"), F.lit("").alias("deprel"), F.lit("").alias("part_key"), F.timestamp_seconds(F.max("sent_id") + 10**6).alias("ts"))
+    rows = [(k, f, c, w) for (k, f), classes in _STREAM_WEIGHTS.items() for c, w in classes.items()]
+    weights = spark.createDataFrame(rows, "part_key string, feature string, class string, weight double")
+    score = scoring.model_scorer(weights, "label", ["deprel"], ["sent_id", "word_id"], ["part_key"])
+    write = scoring.batch_sink(out)
+
+    def twice(batch, number):
+        write(batch.filter("sent_id >= 0"), number)
+        write(batch.filter("sent_id >= 0"), number)
+
+    stream = spark.readStream.schema(words.schema).parquet(source)
+    writer = scoring.score_sentences(stream, score, twice, "ts", ["sent_id"], ["word_id", "deprel", "part_key"], gap="1 second", delay="0 seconds")
+    _in_two_runs(spark, writer, end, source)
+    labels = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_id", "label"))), lambda w: w["label"]), "")
+    return spark.read.parquet(out).groupBy("sent_id").agg(F.count("*").alias("words"), labels.alias("labels"))

@@ -198,11 +198,13 @@ def sample_keys(spark, sf):
 
 def _inputs(spark, sf):
     events = _events(spark, sf).select("row_id", "user_id", "event_type")
-    return {"c": events.filter("event_type = 'click'"), "e": events.filter("event_type = 'error'"), "v": events.filter("event_type = 'view'")}
+    kinds = {"c": "click", "e": "error", "v": "view"}
+    named = {k: events.filter(F.col("event_type") == v) for k, v in kinds.items()}
+    return named | {"x": events.filter(F.coalesce(~F.col("event_type").isin(list(kinds.values())), F.lit(True)))}
 
 
-_INPUTS = """i AS (SELECT event_id + 1 AS row_id, user_id, event_type, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS place,
-  substr(event_type, 1, 1) AS src FROM events WHERE event_type IN ('click', 'error', 'view'))"""
+_INPUTS = """i AS (SELECT event_id + 1 AS row_id, user_id, event_type, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS place,
+  CASE event_type WHEN 'click' THEN 'c' WHEN 'error' THEN 'e' WHEN 'view' THEN 'v' ELSE 'x' END AS src FROM events)"""
 
 
 @query("union_data", f"WITH {_INPUTS} SELECT row_id, user_id, event_type, src FROM i")

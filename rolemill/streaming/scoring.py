@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from rolemill.operators.columns import recode_unknown
 from rolemill.operators.evaluation import confusion_stats
+from rolemill.operators.grouped import classify_grouped
 from rolemill.operators.models import classify
 
 
@@ -42,6 +43,24 @@ def gather_sentences(stream: DataFrame, ts: str, sent: Sequence[str], cols: Sequ
     )
 
 
+def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes each batch into a folder of its own number.
+
+    A batch that is delivered again after a failure replaces what it wrote before, so no
+    row is there twice; reading ``path`` adds the number as column ``batch``.
+    """
+
+    def sink(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return sink
+
+
+def model_scorer(weights: DataFrame, label: str, features: Sequence[str], row_key: Sequence[str], keys: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """A ``score`` for `score_sentences`: every word labelled by the model that its key picks."""
+    return lambda words: classify_grouped(weights, words, label, features, row_key, keys)
+
+
 def score_sentences(
     stream: DataFrame, score: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None],
     ts: str, sent: Sequence[str], cols: Sequence[str], gap: str = "1 minute", delay: str = "1 minute",
