@@ -365,3 +365,28 @@ def average_ranks(spark, sf):
 def select_best(spark, sf):
     scored = rounded(evaluation.scores(evaluation.confusion_stats(labels(spark, sf), "gold", "pred", ["part_key", "model"])))
     return ranking.select_best(scored.select("part_key", "model", "accuracy"), "accuracy", "model", ["part_key"])
+
+
+# --- decisions per key ---------------------------------------------------------
+
+
+@query("frequent_values_by_key", f"""WITH {NOMINAL_SQL}, c AS (SELECT part_key, 'qty' AS col, qty AS v, count(*) AS n FROM nominal WHERE qty IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT part_key, 'disc', disc, count(*) FROM nominal WHERE disc IS NOT NULL GROUP BY ALL),
+  k AS (SELECT part_key, col, v FROM c WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY part_key, col ORDER BY n DESC, v) <= 6)
+  SELECT m.part_key, CASE WHEN a.v IS NOT NULL THEN qty WHEN qty IS NOT NULL THEN '[OTHER]' END AS qty, CASE WHEN b.v IS NOT NULL THEN disc WHEN disc IS NOT NULL THEN '[OTHER]' END AS disc, count(*) AS n
+  FROM nominal AS m LEFT JOIN k AS a ON a.part_key = m.part_key AND a.col = 'qty' AND a.v = m.qty LEFT JOIN k AS b ON b.part_key = m.part_key AND b.col = 'disc' AND b.v = m.disc GROUP BY ALL""")
+def frequent_values_by_key(spark, sf):
+    rows = nominal(spark, sf)
+    kept = values.kept_by_key(rows, ["qty", "disc"], most_common=6, min_occurrences=2)
+    return values.apply_kept(rows, kept, ["qty", "disc"]).groupBy("part_key", "qty", "disc").agg(F.count("*").alias("n"))
+
+
+@query("irrelevant_by_key", """WITH p AS (SELECT p_brand AS part_key, CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_brand > 'Brand#3' THEN 'x' ELSE CAST(p_size % 2 AS VARCHAR) END AS few, 'c' AS same FROM part),
+  l AS (SELECT part_key, 'id' AS col, id AS v FROM p UNION ALL SELECT part_key, 'few', few FROM p UNION ALL SELECT part_key, 'same', same FROM p),
+  n AS (SELECT part_key, col, v, count(*) AS n FROM l GROUP BY ALL)
+  SELECT part_key, col AS "column" FROM n GROUP BY part_key, col HAVING count(*) = 1 OR (max(n) = 1 AND sum(n) > 1)""")
+def irrelevant_by_key(spark, sf):
+    part = table(spark, sf, "part").select(
+        F.col("p_brand").alias("part_key"), F.col("p_partkey").cast("string").alias("id"),
+        F.when(F.col("p_brand") > "Brand#3", "x").otherwise((F.col("p_size") % 2).cast("string")).alias("few"), F.lit("c").alias("same"))
+    return values.irrelevant_by_key(part, ["id", "few", "same"])
