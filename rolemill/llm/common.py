@@ -11,14 +11,13 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_BYTES = 4 << 20
 # Odd multipliers of the rolling and mixing hashes.
 BASE = 0x9E3779B97F4A7C15
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-WORD_BREAKS = np.zeros(256, bool)
-WORD_BREAKS[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,20 +100,22 @@ def _inverse_shift(r: Rolling, end: np.ndarray) -> np.ndarray:
     return powers(r.n, inv)[r.n - end]
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Maximal runs of bytes other than space and 0x09-0x0D."""
-    return text.split()
+def word_codes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit codes of each word of a text (halves of one 128-bit hash)."""
+    codes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, text.split())), np.uint64).reshape(-1, 2)
+    return np.ascontiguousarray(codes[:, 0]), np.ascontiguousarray(codes[:, 1])
 
 
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of each word of a text."""
-    b = np.frombuffer(text, np.uint8)
-    inside = np.empty(len(b) + 2, bool)
-    inside[0] = inside[-1] = False
-    np.logical_not(WORD_BREAKS[b], out=inside[1:-1])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edges[0::2], edges[1::2]
-    return start, end, Rolling(BYTE_CODES[b]).windows(start, end) if len(b) else np.zeros(0, np.uint64)
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as it takes to be new among the columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))

@@ -27,26 +27,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolemill.llm.common import BYTE_CODES, MIX, Rolling, slices, texts, winnow, word_hashes
+from rolemill.llm.common import BASE, BYTE_CODES, MIX, Rolling, slices, texts, winnow, word_codes
 from rolemill.session import fix
 
 SECOND = MIX[0]
 
 
 class Symbols:
-    """A text as symbols: places in bytes and rolling hashes under two bases."""
+    """A text as symbols with two independent codes each, and rolling hashes of both."""
 
     def __init__(self, text: bytes, unit: str):
-        self.text = text
         if unit == "word":
-            self.start, self.end, codes = word_hashes(text)
+            self.codes, self.second = word_codes(text)
         else:
-            codes = BYTE_CODES[np.frombuffer(text, np.uint8)]
-        self.n = len(codes)
-        self.codes = codes
+            self.codes = self.second = BYTE_CODES[np.frombuffer(text, np.uint8)]
+        self.n = len(self.codes)
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(Rolling(self.codes, b).windows(start, end).view(np.int64) for b in (Rolling(self.codes[:0]).base, SECOND))
+        return tuple(Rolling(c, b).windows(start, end).view(np.int64) for c, b in ((self.codes, BASE), (self.second, SECOND)))
 
 
 def rows_of(docs: DataFrame, id: str, text: str) -> DataFrame:
