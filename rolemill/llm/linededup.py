@@ -1,13 +1,18 @@
 """Line dedup by pairwise alignment.
 
-Lines are compared without outer white space; blank lines are skipped. Each line
-hash proposes one pair per later document: with the smallest document that holds
-the line (its owner), so a line held by many documents makes one row per holder and
-no pairs among them. A pair carries only the lines its two documents share. It is
-aligned by patience diff: lines rare enough to be unique on both sides anchor the
-alignment (longest increasing run), gaps are aligned again the same way, and where
-no line is unique its k-th occurrences are matched. Aligned blocks (neighbouring
-lines on both sides) of at least ``min_chars`` characters leave the later document.
+Lines are compared without outer white space; blank lines are skipped. Pairs are
+proposed by runs of neighbouring lines that are just long enough to be deleted: from
+each line the shortest run with ``min_chars`` characters forwards, and backwards. So
+every line of a block that two documents share is in a run that lies in the block, and
+short common lines propose only together with their rarer neighbours. Each run
+proposes one pair per later document: with the smallest document that holds the run
+(its owner), so a run held by many documents makes one row per holder and no pairs
+among them; the k-th occurrence in the later document brings the owner's k-th one. A
+pair carries only the lines of such runs. It is aligned by patience diff: lines rare
+enough to be unique on both sides anchor the alignment (longest increasing run), gaps
+are aligned again the same way, and where no line is unique its k-th occurrences are
+matched. Aligned blocks (neighbouring lines on both sides) of at least ``min_chars``
+characters leave the later document.
 
 Defined cases: NULL and empty texts have no lines and come back as the empty text.
 Rows with a NULL id neither lose lines nor cause losses. Rows with equal ids do not
@@ -24,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolemill.llm.common import slices, texts
+from rolemill.llm.common import quoted, slices, texts
 from rolemill.llm.repeats import _attach, rows_of
 from rolemill.session import fix
 
@@ -91,14 +96,36 @@ def patience(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[i
     return sorted(found)
 
 
+def line_runs(sizes: list[int], least: int) -> list[tuple[int, int]]:
+    """[start, end) of the shortest runs of ``least`` characters from each line forwards and backwards."""
+    runs, end, total = set(), 0, 0
+    for start, size in enumerate(sizes):
+        while end < len(sizes) and total < least:
+            total += sizes[end]
+            end += 1
+        if total < least:
+            break
+        runs.add((start, end))
+        total -= size
+    start, total = 0, 0
+    for end, size in enumerate(sizes):
+        total += size
+        while total - sizes[start] >= least:
+            total -= sizes[start]
+            start += 1
+        if total >= least:
+            runs.add((start, end + 1))
+    return sorted(runs)
+
+
 def aligned_blocks(later: list[dict], owner: list[dict], min_chars: int) -> list[int]:
-    a = sorted((r["pos"], r["h"]) for r in later)
-    size = {r["pos"]: r["size"] for r in later}
-    b = sorted((p, r["h"]) for r in owner for p in r["places"])
+    """Places of the later document's lines in blocks that both have; runs are (pos, lines of (h, size))."""
+    mine = {r["pos"] + k: (x["h"], x["size"]) for r in later for k, x in enumerate(r["lines"])}
+    theirs = {r["pos"] + k: x["h"] for r in owner for k, x in enumerate(r["lines"])}
     out, block, last = [], [], None
-    for p, q in [*patience(a, b), (-1, -1)]:
+    for p, q in [*patience(sorted((p, h) for p, (h, _) in mine.items()), sorted(theirs.items())), (-1, -1)]:
         if last is not None and (p, q) != (last[0] + 1, last[1] + 1):
-            if sum(size[x] for x in block) >= min_chars:
+            if sum(mine[x][1] for x in block) >= min_chars:
                 out += block
             block = []
         block.append(p)
@@ -110,29 +137,35 @@ def find_lines(docs: DataFrame, min_chars: int = 24, id: str = "doc_id", text: s
     """(id, key, lines): places (among lines that are not blank) that leave each row."""
     rows = rows_of(docs, id, text)
     kind = rows.schema["id"].dataType.simpleString()
+    line = pa.list_(pa.struct([("h", pa.binary()), ("size", pa.int32())]))
 
     def cut(batches):
         for batch in slices(batches, "text"):
-            who, pos, h, size = [], [], [], []
+            who, pos, h, nth, lines = [], [], [], [], []
             for i, t in enumerate(texts(batch.column("text"))):
-                for k, (_, line) in enumerate(split_lines(t)):
+                own = [(xxhash.xxh3_128_digest(x), len(x.decode("utf-8", "ignore"))) for _, x in split_lines(t)]
+                seen = Counter()
+                for a, b in line_runs([n for _, n in own], min_chars):
+                    name = own[a][0] if b == a + 1 else xxhash.xxh3_128_digest(b"".join(x for x, _ in own[a:b]))
                     who.append(i)
-                    pos.append(k)
-                    h.append(xxhash.xxh3_128_digest(line))
-                    size.append(len(line.decode("utf-8", "ignore")))
+                    pos.append(a)
+                    h.append(name)
+                    nth.append(seen[name])
+                    lines.append([{"h": x, "size": n} for x, n in own[a:b]])
+                    seen[name] += 1
             take = pa.array(who, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(take), batch.column("key").take(take), pa.array(pos, pa.int32()), pa.array(h, pa.binary()), pa.array(size, pa.int32())],
-                names=["id", "key", "pos", "h", "size"])
+                [batch.column("id").take(take), batch.column("key").take(take), pa.array(pos, pa.int32()), pa.array(h, pa.binary()), pa.array(nth, pa.int32()), pa.array(lines, line)],
+                names=["id", "key", "pos", "h", "nth", "lines"])
 
-    lines = fix(rows.filter(F.col("id").isNotNull()).mapInArrow(cut, f"id {kind}, key long, pos int, h binary, size int"))
-    owners = lines.groupBy("h").agg(F.min(F.struct("id", "key")).alias("o"), F.max("id").alias("high")).filter("o.id < high")
+    runs = fix(rows.filter(F.col("id").isNotNull()).mapInArrow(cut, f"id {kind}, key long, pos int, h binary, nth int, lines array<struct<h:binary,size:int>>"))
+    owners = runs.groupBy("h").agg(F.min(F.struct("id", "key")).alias("o"), F.max("id").alias("high")).filter("o.id < high")
     owners = fix(owners.select("h", F.col("o.id").alias("oid"), F.col("o.key").alias("okey")))
-    shared = fix(lines.join(owners, "h"))
-    places = shared.filter("id = oid and key = okey").groupBy("h").agg(F.sort_array(F.collect_set("pos")).alias("places"))
-    later = shared.filter("id > oid").join(places, "h")
+    shared = fix(runs.join(owners, "h"))
+    owned = fix(shared.filter("id = oid and key = okey").groupBy("h", "nth").agg(F.min("pos").alias("opos")))
+    later = shared.filter("id > oid").join(owned, ["h", "nth"])
     pairs = later.groupBy("id", "key", "oid", "okey").agg(
-        F.collect_set(F.struct("pos", "h", "size")).alias("later"), F.collect_set(F.struct("h", "places")).alias("owner"))
+        F.collect_set(F.struct("pos", "lines")).alias("later"), F.collect_set(F.struct(F.col("opos").alias("pos"), "lines")).alias("owner"))
 
     def align(batches):
         for batch in batches:
@@ -143,9 +176,11 @@ def find_lines(docs: DataFrame, min_chars: int = 24, id: str = "doc_id", text: s
     return found.groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 24, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs``, its text without the deleted lines, and _n_lines, _n_removed (of lines not blank)."""
-    carried = [c for c in docs.columns if c != text]
+def dedup_lines(
+    docs: DataFrame, min_chars: int = 24, id: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("_n_lines", "_n_removed")
+) -> DataFrame:
+    """All columns of ``docs``, its text without the deleted lines, and two ``counts``: lines (not blank) and those removed."""
+    carried = [F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text] or [F.lit(0).alias("none")]
     marked = docs.select(F.struct(*carried).alias("rest"), F.col(id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     marked = marked.withColumn("key", F.xxhash64("text"))
     both = _attach(marked, find_lines(docs, min_chars, id, text), "left").select("rest", "text", "lines")
@@ -164,5 +199,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = 24, id: str = "doc_id", text:
         return pd.DataFrame(out, columns=["text", "n", "gone"])
 
     done = both.select("rest", apply("text", "lines").alias("done"))
-    return done.select(*[F.col(f"rest.`{c}`") if c != text else F.col("done.text").alias(text) for c in docs.columns],
-                       F.col("done.n").alias("_n_lines"), F.col("done.gone").alias("_n_removed"))
+    kept = [F.col(f"rest.c{i}").alias(c) if c != text else F.col("done.text").alias(text) for i, c in enumerate(docs.columns)]
+    return done.select(*kept, F.col("done.n").alias(counts[0]), F.col("done.gone").alias(counts[1]))
