@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolemill.llm.common import fresh, quoted
 from rolemill.session import fix
 
 BROADCAST_ROWS = 2_000_000
@@ -85,8 +86,9 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "text"
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "text", id: str = "doc_id") -> DataFrame:
     """The documents without a hit word, all their columns; NULL ids are judged like others."""
-    marked = docs.withColumn("_text_key", F.xxhash64(F.col(text).cast("string")))
-    found = find_hits(docs.select(F.struct(F.col(id).alias("i"), F.xxhash64(F.col(text).cast("string")).alias("k")).alias("doc"), F.col(text).alias("body")),
+    name = fresh(docs, "_text_key")
+    marked = docs.withColumn(name, F.xxhash64(F.col(quoted(text)).cast("string")))
+    found = find_hits(docs.select(F.struct(F.col(quoted(id)).alias("i"), F.xxhash64(F.col(quoted(text)).cast("string")).alias("k")).alias("doc"), F.col(quoted(text)).alias("body")),
                       items, n, "body", "doc").filter("n_hit > 0").select("doc.*").distinct()
-    cond = marked[id].eqNullSafe(found["i"]) & (marked["_text_key"] == found["k"])
-    return marked.join(found, cond, "left_anti").drop("_text_key")
+    cond = marked[quoted(id)].eqNullSafe(found["i"]) & (marked[name] == found["k"])
+    return marked.join(found, cond, "left_anti").drop(name)
