@@ -4,14 +4,18 @@ Fingerprints that differ in at most ``d`` bits agree, for any thresholds t_i >=
 with sum(t_i + 1) = d + 1, to within t_i bits in some partition i of the bits. Bits
 that go together are put into the same partition (greedily, by their correlation
 over all fingerprints), and dynamic programming picks the thresholds with the least
-estimated candidates, from the sum of squared key counts of each partition.
-
-Only distinct fingerprints are linked. Each is listed under its own key of a
-partition and probes the keys within t_i bits. Keys with at most ``PAIRS`` members
-are verified pair by pair. In larger ones, where pairs would grow with the square,
-members are verified through the fingerprints one bit away: two fingerprints differ
-in at most 2 bits just if they share one of these (or are one of them), so linking
-each member to the smallest holder of each such point gives the same components.
+estimated cost: probes and candidates. The estimate for a threshold starts from the
+fingerprints that share a key of the partition, counted over all of them, and grows with it
+as the odds of few differing bits do, given each bit's share of ones.
+
+Only distinct fingerprints are linked. Each own key of a partition is one row with its
+count; a fingerprint probes the keys within t_i bits, and if no other is found there that
+agrees in a part of the other bits too, it has no link. The candidates that are left are verified through the
+points near them: fingerprints within d bits share a point that is within d / 2 bits of
+both (for odd ``d``: rounded down for one, up for the other), and those around a point
+are within d bits. So each one is linked to the smallest fingerprint around each of its
+points, which gives the components of all pairs. Work grows with the fingerprints, however many are
+alike: there are no pairs within a key or group.
 
 NULL and empty texts have the zero fingerprint and link like others. Repeated rows
 are in one component. NULL ids have a fingerprint; their component is that of the
@@ -32,7 +36,6 @@ from rolemill.llm.common import slices, texts
 from rolemill.llm.components import components
 from rolemill.session import fix
 
-PAIRS = 16
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -61,8 +64,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id: str = "doc_id", text: st
     return rows.mapInArrow(work, f"id {kind}, fp long")
 
 
-def bit_groups(prints: DataFrame, m: int) -> list[list[int]]:
-    """64 bits in m partitions of nearly equal size, correlated bits together."""
+def bit_sums(prints: DataFrame) -> np.ndarray:
+    """How often each pair of bits is set together; the last row and column stand for every fingerprint."""
 
     def work(batches):
         total = np.zeros((65, 65))
@@ -78,7 +81,11 @@ def bit_groups(prints: DataFrame, m: int) -> list[list[int]]:
     total = np.zeros(65 * 65)
     for i, s in sums:
         total[i] = s
-    total = total.reshape(65, 65)
+    return total.reshape(65, 65)
+
+
+def bit_groups(total: np.ndarray, m: int) -> list[list[int]]:
+    """64 bits in m partitions of nearly equal size, correlated bits together."""
     n = max(total[64, 64], 1.0)
     mean = total[64, :64] / n
     cov = total[:64, :64] / n - np.outer(mean, mean)
@@ -123,46 +130,70 @@ def allocate(costs: list[list[float]], d: int) -> list[int]:
     return best[d + 1][1]
 
 
+def few_differ(ones: np.ndarray, most: int) -> np.ndarray:
+    """Odds that two fingerprints differ in at most 0, 1, … ``most`` of the bits, from each bit's share of ones."""
+    odds = np.zeros(most + 2)
+    odds[0] = 1.0
+    for p in 2 * ones * (1 - ones):
+        odds[1:] = odds[1:] * (1 - p) + odds[:-1] * p
+        odds[0] *= 1 - p
+        odds[-1] = 0.0
+    return np.cumsum(odds[:-1])
+
+
 def plan(prints: DataFrame, d: int, ms=(2, 3)) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition that is probed."""
+    total = bit_sums(prints)
+    n = max(total[64, 64], 1.0)
+    ones = total[64, :64] / n
     plans = []
-    for m in ms:
-        groups, costs = bit_groups(prints, m), []
+    for m in [m for m in ms if m <= d + 1] or [1]:
+        groups, costs = bit_groups(total, m), []
         for g in groups:
-            squares, n = prints.groupBy(_key(g).alias("k")).count().agg(F.sum(F.col("count") * F.col("count")), F.sum("count")).first()
-            per_key = (squares or 0) / max(n or 1, 1)
-            costs.append([len(_flips(g, t)) * (1 + per_key) for t in range(d + 1)])
+            # a row per probe and part of the other bits; candidates: fingerprints that share a key with
+            # another one, and with t as many more as the odds of t differing bits say
+            met = prints.groupBy(_key(g).alias("k")).count().agg(F.sum(F.when(F.col("count") > 1, F.col("count")))).first()[0] or 0
+            odds = few_differ(ones[g], d)
+            costs.append([len(_flips(g, t)) * n * (d + 1) + min(n, met * odds[t] / max(odds[0], 1e-300)) for t in range(d + 1)])
         chosen = allocate(costs, d)
         plans.append((sum(c[t] for c, t in zip(costs, chosen, strict=True) if t >= 0), [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0]))
     return min(plans, key=lambda p: p[0])[1]
 
 
+def candidates(prints: DataFrame, d: int) -> DataFrame:
+    """(fp): fingerprints that probe another one.
+
+    The principle is used twice: two that meet under a key of a partition differ in at
+    most ``d`` of the other bits, so they agree in one of d + 1 parts of these. Own keys and
+    probes carry that part along; each fingerprint makes the same number of rows, however many
+    others there are.
+    """
+    probes = None
+    for i, (bits, t) in enumerate(plan(prints, d)):
+        rest = [b for b in range(64) if b not in set(bits)]
+        parts = F.array(*[F.xxhash64(F.lit(j), _key(rest[j :: d + 1])) for j in range(d + 1)])
+        flips = F.array(*[F.struct(_key(bits).bitwiseXOR(F.lit(f)).alias("k"), F.lit(int(f == 0)).alias("own")) for f in _flips(bits, t)])
+        rows = prints.select("fp", F.explode(flips).alias("p"), parts.alias("parts")).select("fp", "p.k", "p.own", F.explode("parts").alias("part"))
+        rows = rows.select(F.xxhash64(F.lit(i), "k", "part").alias("h"), "own", "fp")
+        probes = rows if probes is None else probes.unionByName(rows)
+    met = probes.groupBy("h").agg(F.count("*").alias("n"), F.max("own").alias("own")).filter("n > 1 and own = 1").select("h")
+    return probes.select("h", "fp").join(fix(met), "h").select("fp").distinct()
+
+
 def links(prints: DataFrame, d: int) -> DataFrame:
     """Verified links (a, b) between distinct fingerprints; same components as all pairs."""
-    members = None
-    for i, (bits, t) in enumerate(plan(prints, d)):
-        probes = F.explode(F.array(*[_key(bits).bitwiseXOR(F.lit(f)) for f in _flips(bits, t)]))
-        rows = prints.select(F.lit(i).alias("part"), probes.alias("k"), "fp")
-        members = rows if members is None else members.unionByName(rows)
-    members = fix(members)
-    sizes = members.groupBy("part", "k").agg(F.count("*").alias("size")).filter("size > 1")
-    members = fix(members.join(sizes, ["part", "k"]))
-    small = members.filter(F.col("size") <= PAIRS)
-    other = small.select("part", "k", F.col("fp").alias("b"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= d
-    pairs = small.select("part", "k", F.col("fp").alias("a")).join(other, ["part", "k"]).filter("a < b").filter(near).select("a", "b")
-    # any point within ceil(d / 2) bits of one and floor(d / 2) of the other; shared points prove d only for even d
-    points = F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(f)) for f in _flips(list(range(64)), d // 2)]))
-    big = members.filter(F.col("size") > PAIRS).select("fp").distinct().select("fp", points.alias("point"))
-    low = fix(big.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").select("point", "a"))
-    stars = big.join(low, "point").filter("a < fp").select("a", F.col("fp").alias("b")).distinct()
-    return pairs.unionByName(stars).distinct()
+    near, far = d // 2, d - d // 2
+    inner = set(_flips(list(range(64)), near))
+    around = F.array(*[F.struct(F.col("fp").bitwiseXOR(F.lit(f)).alias("at"), F.lit(f in inner).alias("inner")) for f in _flips(list(range(64)), far)])
+    points = fix(candidates(prints, d)).select("fp", F.explode(around).alias("p")).select("fp", "p.at", "p.inner")
+    low = points.groupBy("at").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("a"), F.count("*").alias("n"))
+    low = fix(low.filter("n > 1 and a is not null").select("at", "a"))
+    stars = points.join(low, "at").filter("a <> fp").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= d)
+    return stars.select("a", F.col("fp").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, d: int = 2, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id) of each row; ``d`` must be even."""
-    if d % 2:
-        raise ValueError("d must be even")
+    """(id, fingerprint, component_id) of each row."""
     rows = fix(fingerprints(docs, shingle, id, text))
     prints = fix(rows.groupBy("fp").agg(F.min("id").alias("low")))
     labels = components(links(prints.select("fp"), d))
