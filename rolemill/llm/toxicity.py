@@ -12,8 +12,7 @@ significant ones of a text are summed, and a logistic curve fitted on the traini
 texts makes the sum a probability.
 
 Fitting uses at most ``max_labelled`` labelled texts (smallest hashes of their ids,
-a documented bound) and keeps at most ``max_terms`` words, the most significant.
-Prior counts cover all documents, scoring whole texts. NULL and empty texts have no
+a documented bound) and keeps every word of theirs that is significant. Prior counts cover all documents, scoring whole texts. NULL and empty texts have no
 segment and get the curve's value at zero; without labels of both classes every
 score is the share of toxic labels (0 without any). Rows may repeat; NULL ids are
 scored. Labels other than 0 and 1 are ignored; a text with several labels is toxic
@@ -114,7 +113,7 @@ def _decay(scores: np.ndarray, share: np.ndarray) -> float:
     return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_terms: int = 20_000, prior: float = 500.0,
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, prior: float = 500.0,
         z_min: float = 3.0, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learn from the labels given; the caller keeps held-out rows out of ``labels``."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col(id).isNotNull()).groupBy(F.col(id).alias("lid")).agg(F.max(label).cast("int").alias("y"))
@@ -137,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_term
     one, zero = F.col("y1") + a, F.col("y0") + a
     delta = F.log(one / (F.lit(n1 + mass) - one)) - F.log(zero / (F.lit(n0 + mass) - zero))
     terms = counts.filter("y1 + y0 > 0").withColumn("delta", delta).withColumn("z", F.col("delta") / F.sqrt(1 / one + 1 / zero))
-    terms = terms.filter(F.abs("z") >= z_min).orderBy(F.abs("z").desc(), "w").limit(max_terms).collect()
+    terms = terms.filter(F.abs("z") >= z_min).orderBy(F.abs("z").desc(), "w").collect()  # words of the labelled texts only
     model = Model(words={r["w"]: float(r["delta"]) for r in terms})
     share = np.array([r["y0"] / n0 for r in terms])
     share = (share * n0 + 0.5) / (n0 + 0.5 * len(terms) + 1)
@@ -145,21 +144,43 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_term
     model.decay = _decay(np.append(scores, -DRIFT), np.append(share, max(1 - share.sum(), 1e-6)))
     words = model.words
 
-    def work(batches):
-        for batch in slices(batches, "text"):
-            found = [scan(t.decode(), words) for t in texts(batch.column("text"))]
-            kind = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("y"), pa.array([x for x, _ in found], pa.int64()), pa.array([[s for *_, s in segs] for _, segs in found], kind)], names=["y", "n", "s"])
+    def scanned(figure):
+        def work(batches):
+            for batch in slices(batches, "text"):
+                found = [scan(t.decode(), words) for t in texts(batch.column("text"))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("y"), pa.array([x for x, _ in found], pa.int64()), pa.array([figure(*f) for f in found], pa.float64())], names=["y", "n", "s"])
+
+        return train.mapInArrow(work, "y int, n long, s double").filter("n > 0").collect()  # at most max_labelled rows
 
-    seen = train.mapInArrow(work, "y int, n long, s array<double>").filter("n > 0").collect()  # at most max_labelled rows
-    clean = [model.decay * max(r["s"], default=0.0) - math.log(r["n"]) for r in seen if r["y"] == 0]
+    best = scanned(lambda n, segs: max((s for *_, s in segs), default=0.0))
+    clean = [model.decay * r["s"] - math.log(r["n"]) for r in best if r["y"] == 0]
     model.log_k = float(np.mean(clean)) - 0.5772156649 if clean else 0.0
-    x = np.array([evidence(model, r["n"], [(0, 0, s) for s in r["s"]]) for r in seen])
+    seen = scanned(lambda n, segs: evidence(model, n, segs))
+    x = np.array([r["s"] for r in seen])
     model.slope, model.offset = _logistic(np.log1p(x), np.array([float(r["y"]) for r in seen]))
     return model
 
 
+def probability(model: Model, total: float) -> float:
+    z = model.slope * math.log1p(total) + model.offset
+    return 1 / (1 + math.exp(-min(max(z, -700), 700))) if z > -math.inf else 0.0
+
+
+def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows with a score below ``limit``, all their columns as they are."""
+
+    place = f"c{docs.columns.index(text)}"
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # any column name is possible
+
+    def work(batches):
+        for batch in slices(batches, place):
+            scores = [probability(model, evidence(model, *scan(t.decode(), model.words))) for t in texts(batch.column(place))]
+            yield batch.filter(pa.array([s < limit for s in scores], pa.bool_()))
+
+    return plain.mapInArrow(work, plain.schema).toDF(*docs.columns)
+
+
 def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, score, passages): passages are significant segments in words [start, end), with their evidence."""
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
@@ -172,8 +193,7 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text")
             for t in texts(batch.column("text")):
                 n, segs = scan(t.decode(), model.words)
                 strong = [(a, b, e) for a, b, s in segs if (e := evidence(model, n, [(a, b, s)])) > 0]
-                z = model.slope * math.log1p(sum(e for *_, e in strong)) + model.offset
-                p.append(1 / (1 + math.exp(-min(max(z, -700), 700))) if z > -math.inf else 0.0)
+                p.append(probability(model, sum(e for *_, e in strong)))
                 out.append([{"start": a, "end": b + 1, "evidence": e} for a, b, e in strong])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(p, pa.float64()), pa.array(out, passage)], names=[id, "score", "passages"])
 
