@@ -237,19 +237,20 @@ def relieff(
 def _counted_pairs(df: DataFrame, cols: Sequence[str], needs: DataFrame) -> DataFrame:
     """(_k, a, b, h): joint entropy of the wanted pairs of columns of each key (a = b: of the column).
 
-    ``needs``: (_k, pairs). Equal cells are summed up before the shuffle.
+    ``needs``: (_k, pairs), pairs of places in ``cols``. Equal cells are summed up before the shuffle.
     """
-    values = F.create_map(*[x for c in cols for x in (F.lit(c), F.col(c).cast("string"))])
-    cells = df.withColumn("_values", values).join(needs, "_k").select("_k", "_values", F.explode("pairs").alias("p"))
-    cells = cells.select("_k", "p.a", "p.b", F.element_at("_values", F.col("p.a")).alias("va"), F.element_at("_values", F.col("p.b")).alias("vb"))
+    values, names = F.array(*[F.col(c).cast("string") for c in cols]), F.array(*[F.lit(c) for c in cols])
+    cells = df.select("_k", values.alias("_values")).join(needs, "_k").select("_k", "_values", F.explode("pairs").alias("p"))
+    cells = cells.select("_k", "p.a", "p.b", F.get("_values", F.col("p.a")).alias("va"), F.get("_values", F.col("p.b")).alias("vb"))
     counts = cells.groupBy("_k", "a", "b", "va", "vb").agg(F.count("*").cast("double").alias("n"))
-    return counts.groupBy("_k", "a", "b").agg((F.log2(F.sum("n")) - F.sum(_xlog(F.col("n"))) / F.sum("n")).alias("h"))
+    entropy = counts.groupBy("_k", "a", "b").agg((F.log2(F.sum("n")) - F.sum(_xlog(F.col("n"))) / F.sum("n")).alias("h"))
+    return entropy.select("_k", F.get(names, F.col("a")).alias("a"), F.get(names, F.col("b")).alias("b"), "h")
 
 
 def pair_information(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """(keys…, a, b, mi) for all pairs of columns, a before b, in one job."""
     cols = list(cols)
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for i, a in enumerate(cols) for b in cols[i:]])
+    pairs = F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i in range(len(cols)) for j in range(i, len(cols))])
     keyed = df.withColumn("_k", F.struct(F.lit(0).alias("_0"), *keys))
     entropy = _counted_pairs(keyed, cols, keyed.select("_k").distinct().withColumn("pairs", pairs))
     single = entropy.filter("a = b")
@@ -315,20 +316,22 @@ def mrmr(
     kind = state.schema["_k"].dataType.simpleString()
     state = state.select("_k", F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("double").alias("h"))
 
+    place = {c: i for i, c in enumerate([*cols, target])}
+
     def step(pdf: pd.DataFrame) -> tuple[list, list]:
         entropy = {(a, b): h for a, b, h in zip(pdf["a"], pdf["b"], pdf["h"]) if a is not None}
         return choose(cols, target, entropy, n, beam, ahead)
 
     def wants(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = step(pdf)[1]
-        return pd.DataFrame({"_k": [pdf["_k"].iloc[0]], "pairs": [[{"a": a, "b": b} for a, b in pairs]]})
+        pairs = [{"a": place[a], "b": place[b]} for a, b in step(pdf)[1]]
+        return pd.DataFrame({"_k": [pdf["_k"].iloc[0]], "pairs": [pairs]})
 
     def result(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame(step(pdf)[0], columns=["rank", "column", "score"])
         return out.assign(_k=[pdf["_k"].iloc[0]] * len(out))[["_k", "rank", "column", "score"]]
 
     while True:
-        needs = fix(state.groupBy("_k").applyInPandas(wants, f"_k {kind}, pairs array<struct<a:string,b:string>>").filter(F.size("pairs") > 0))
+        needs = fix(state.groupBy("_k").applyInPandas(wants, f"_k {kind}, pairs array<struct<a:int,b:int>>").filter(F.size("pairs") > 0))
         if needs.isEmpty():
             break
         state = fix(state.unionByName(_counted_pairs(keyed, [*cols, target], needs)))
