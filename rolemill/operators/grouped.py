@@ -193,12 +193,16 @@ def train_grouped(
 # --- keys in several shards ----------------------------------------------------
 
 
-def _bucketed(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The table written in buckets: later joins and groupings on ``by`` need no shuffle of it."""
+def _bucketed(df: DataFrame, by: Sequence[str], made: list[str]) -> DataFrame:
+    """The table written in buckets: later joins and groupings on ``by`` need no shuffle of it.
+
+    Its name is added to ``made``, for the caller to drop.
+    """
     spark = df.sparkSession
     name = f"rolemill_{uuid.uuid4().hex}"
     n = partitions(spark)
     df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).format("parquet").saveAsTable(name)
+    made.append(name)
     return spark.table(name)
 
 
@@ -253,11 +257,12 @@ def _shard_gradients(batches):
 
 def _train_across(data: DataFrame, trials: DataFrame, features: Sequence[str], tol: float) -> DataFrame:
     """The steps of `minimise`, with gradients summed over the shards of a key."""
+    made: list[str] = []
     data = data.withColumn("_j", F.to_json("_k"))
     ids = fix(data.select("_j", "_k").distinct())
-    shards = _bucketed(data.select("_j", "_shard", "_y", "_cells", "_n").groupBy("_j", "_shard").applyInArrow(lambda t: _pack_shard(t), PACKED), ["_j", "_shard"])
+    shards = _bucketed(data.select("_j", "_shard", "_y", "_cells", "_n").groupBy("_j", "_shard").applyInArrow(lambda t: _pack_shard(t), PACKED), ["_j", "_shard"], made)
     listed = shards.select("_j", "_shard", F.explode(F.arrays_zip("names", "ofs")).alias("f")).select("_j", "_shard", F.col("f.names").alias("feature"), F.col("f.ofs").alias("of"))
-    postings = _bucketed(listed, ["_j", "feature"])
+    postings = _bucketed(listed, ["_j", "feature"], made)
     classes = fix(shards.select("_j", F.explode("y").alias("class")).distinct())
     numbers = F.create_map(*[x for i, c in enumerate(features) for x in (F.lit(c), F.lit(i))])
     use = F.when(F.col("use").isNull(), F.sequence(F.lit(0), F.lit(max(len(features) - 1, 0)))).otherwise(F.transform("use", lambda c: numbers[c]))
@@ -286,7 +291,10 @@ def _train_across(data: DataFrame, trials: DataFrame, features: Sequence[str], t
         if not ended.isEmpty():
             done = done.unionByName(state.join(ended, ["_j", "trial"]).select("_j", "trial", "feature", "class", F.col("w").alias("weight")))
         open_ = still.filter("go").select("_j", "trial", "l2", "steps")
-    return fix(done.join(ids, "_j").select("_k", "trial", "feature", "class", "weight"))
+    out = fix(done.join(ids, "_j").select("_k", "trial", "feature", "class", "weight"))
+    for name in made:
+        out.sparkSession.sql(f"DROP TABLE {name}")
+    return out
 
 
 # --- scoring -------------------------------------------------------------------
