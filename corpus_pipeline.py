@@ -11,11 +11,11 @@ other. The columns of documents, further ones included, are kept up to the packi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolemill.llm import decontaminate, linededup, packing, queries, simhash, toxicity
-from rolemill.llm.common import table
+from rolemill.llm.common import fresh, quoted, table
 from rolemill.session import scratch_path, tune
 
 ORACLE_SQL = None
@@ -23,33 +23,38 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5; the score depends on the text alone, so equal texts share their fate."""
-    model = queries.toxicity_model(spark, docs, sf_dir)
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
-    scored = toxicity.score(keyed, model, "_row", "_text")
-    return scored.filter("score < 0.5").select("_row.*")
+    tune(spark)
+    return toxicity.keep_clean(docs, queries.toxicity_model(spark, docs, sf_dir))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(docs)
-    out = out.filter("_n_removed = 0 or _n_removed < _n_lines")
+    tune(spark)
+    lines, gone = fresh(docs, "_n_lines"), fresh(docs, "_n_removed")
+    out = linededup.dedup_lines(docs, counts=(lines, gone))
+    out = out.filter((F.col(gone) == 0) | (F.col(gone) < F.col(lines)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(gone) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop(lines, gone)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tune(spark)
     groups = simhash.near_duplicates(docs.filter("doc_id is not null"), shingle=3, d=2)
     keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    kept = docs.join(keep, "doc_id", "left_semi").withColumn("_nth", one).filter("_nth = 1")
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    whole = [F.col(quoted(c)) for c in docs.columns]
+    row = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(whole)])
+    one = docs.join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*whole)).alias("_row"))
+    kept = one.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tune(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tune(spark)
     pieces = packing.pack(docs, queries.VOCABULARY)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # rows of whole texts go to Python workers; a batch of them is held several times over
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
