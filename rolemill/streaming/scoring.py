@@ -13,6 +13,7 @@ from rolemill.operators.columns import recode_unknown
 from rolemill.operators.evaluation import confusion_stats
 from rolemill.operators.grouped import classify_grouped
 from rolemill.operators.models import classify
+from rolemill.session import fix
 
 
 def score_stream(stream: DataFrame, model: PipelineModel, label: str, domains: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -68,7 +69,8 @@ def score_sentences(
     """Classify whole sentences: gathered by state, scored batch by batch."""
 
     def batch(df: DataFrame, number: int) -> None:
-        words = df.select(*sent, F.explode("words").alias("w")).select(*sent, "w.*")
+        # written: the state is read once, and joins know the size of the batch, which the plan of a stream does not tell
+        words = fix(df.select(*sent, F.explode("words").alias("w")).select(*sent, "w.*"))
         sink(score(words), number)
 
     return gather_sentences(stream, ts, sent, cols, gap, delay).writeStream.outputMode("append").foreachBatch(batch)

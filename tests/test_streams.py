@@ -55,3 +55,18 @@ def test_running_counts(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     want = confusion_stats(df.withColumn("window", F.window("ts", "1 hour")), "gold", "pred", ["window"])
     assert got.count() == 2 and got.exceptAll(want).isEmpty()
+
+
+def test_a_batch_is_written_before_it_is_scored(spark, tmp_path):
+    """The plan of a batch does not tell its size: joins with it went wrong, and each use read the state again."""
+    source, files = str(tmp_path / "in"), []
+    words(spark, [(1, 1, 100), (2, 1, 200), (3, 1, 900)]).write.parquet(source)
+    stream = spark.readStream.schema(words(spark, [(0, 0, 0)]).schema).parquet(source)
+
+    def score(df):
+        files.append([f for f in df.inputFiles() if not f.startswith(f"file:{source}")])
+        return df
+
+    writer = scoring.score_sentences(stream, score, lambda df, n: df.count(), "ts", ["sent_id"], ["word_id"], "1 second", "0 seconds")
+    run(writer, tmp_path / "log")
+    assert any(files)
