@@ -210,3 +210,20 @@ def test_tree_classification_uses_labels_just_given(spark):
     assert len(got) == 8  # words on a cycle are labelled, too
     linear = classify_tree(weights, df, "label", ["h", "l", "ls"], "h", "l", "ls", mode="linear")
     assert isinstance(linear.toPandas(), pd.DataFrame)
+
+
+def test_equal_rows_are_scored_once(spark):
+    from rolemill.operators.grouped import class_scores, profile_scores, with_profiles
+
+    rows = spark.createDataFrame([(i, f"k{i % 2}", "ab"[i // 2 % 2], "X") for i in range(40)], "id long, part_key string, f string, cls string")
+    weights = spark.createDataFrame([(f"k{k}", f, c, w + k) for k in (0, 1) for f, c, w in (("BIAS", "X", 0.5), ("BIAS", "Y", 0.25), ("f=a", "Y", 1.0))],
+                                    "part_key string, feature string, class string, weight double")
+    profiles, scored = profile_scores(weights, with_profiles(rows, ["f"], ["id"]))
+    assert profiles.count() == 4 and scored.count() == 8  # two keys, two values, two classes; not 80
+    # rows that share a row key are scored by their sum, with and without NULL
+    for ids in (rows, rows.withColumn("id", F.expr("nullif(id div 3, 1)"))):
+        marked = with_profiles(ids, ["f"], ["id"])
+        profiles, scored = profile_scores(weights, marked)
+        per_row = marked.select(F.struct("id").alias("_r"), "_profile").distinct().join(profiles, "_profile").join(scored, "_id").select("_r", "class", "score")
+        want = class_scores(weights, ids, ["f"], ["id"])
+        assert sorted(map(str, per_row.collect())) == sorted(map(str, want.collect()))
