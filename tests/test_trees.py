@@ -122,3 +122,30 @@ def test_tree_features_are_those_of_the_word_as_predicate(spark, toks):
     shared = [c for c in own.columns if c in full.columns and c not in ("fillpred", "pred")]
     assert len(shared) > 70
     assert own.select(shared).exceptAll(full.select(shared)).isEmpty()
+
+
+def _plain_paths(tokens, cols, rows):
+    paths = trees.tree_paths(tokens, cols)
+    names = ["up", *[f"up_{c}" for c in cols]]
+    of_pred = paths.withColumnsRenamed({"word_id": "pred_word", **{n: f"pred_{n}" for n in names}})
+    return rows.join(paths, ["sent_id", "word_id"]).join(of_pred, ["sent_id", "pred_word"])
+
+
+def test_candidates_are_not_sorted_by_predicate_for_their_walks(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        regular = [(s, w, w // 2, f"R{w % 3}", "Y" if w % 4 == 1 else "_") for s in (1, 2) for w in range(1, 8)]
+        odd = [(3, 1, 0, "A", "Y"), (3, 1, 0, "A", "Y"), (3, 2, 1, "B", "_"), (4, 2, 0, "C", "Y"), (4, 3, 2, "D", "_"), (5, None, 0, "E", "Y"), (None, 1, 0, "F", "Y")]
+        for some in (regular, regular + odd):
+            tokens = spark.createDataFrame(some, "sent_id long, word_id int, head int, deprel string, fillpred string")
+            rows = trees.candidate_rows(tokens)
+            got = trees.with_paths(tokens, ["deprel"], rows)
+            want = _plain_paths(tokens, ["deprel"], rows)
+            assert got.columns == want.columns
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+            if some is regular:
+                plan = got._jdf.queryExecution().executedPlan().toString()
+                assert not [line for line in plan.splitlines() if "Sort [" in line and "pred_word" in line]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
