@@ -227,3 +227,15 @@ def test_equal_rows_are_scored_once(spark):
         per_row = marked.select(F.struct("id").alias("_r"), "_profile").distinct().join(profiles, "_profile").join(scored, "_id").select("_r", "class", "score")
         want = class_scores(weights, ids, ["f"], ["id"])
         assert sorted(map(str, per_row.collect())) == sorted(map(str, want.collect()))
+
+
+def test_models_and_profiles_are_dealt_to_many_tasks(spark):
+    """A few bytes of rows hold much work, so that their size must not bring all keys into one task."""
+    from rolemill.operators.grouped import profile_scores, with_profiles
+
+    rows = spark.createDataFrame([(i, f"k{i % 40}", "ab"[i // 40 % 2], "XY"[i // 40 % 2]) for i in range(400)], "id long, part_key string, f string, cls string")
+    trials = grouped.trial_table(rows, ["part_key"], [(None, 1.0, 5), (["f"], 1.0, 5)])
+    fitted = grouped.train_trials(rows, "cls", ["f"], trials)
+    assert fitted.select(F.spark_partition_id()).distinct().count() > 1
+    profiles, _ = profile_scores(fitted, with_profiles(rows, ["f"], ["id"]))
+    assert profiles.count() == 80 and len(profiles.inputFiles()) > 1
