@@ -239,3 +239,25 @@ def test_models_and_profiles_are_dealt_to_many_tasks(spark):
     assert fitted.select(F.spark_partition_id()).distinct().count() > 1
     profiles, _ = profile_scores(fitted, with_profiles(rows, ["f"], ["id"]))
     assert profiles.count() == 80 and len(profiles.inputFiles()) > 1
+
+
+def test_an_estimator_gets_rows_dealt_by_size(spark, tmp_path, monkeypatch):
+    """The rows of one file are split before an estimator keeps them."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    parts = []
+
+    class Seen(DecisionTreeClassifier):
+        def fit(self, dataset, params=None):
+            parts.append(dataset.rdd.getNumPartitions())
+            return super().fit(dataset, params)
+
+    monkeypatch.setitem(CLASSIFIERS, "seen", lambda params: Seen(**params))
+    monkeypatch.setattr(models, "TASK_CELLS", 4_000)
+    path = str(tmp_path / "rows")
+    rows = spark.range(20_000).select(F.concat(F.lit("v"), F.col("id") % 50).alias("a"), F.lit(2.0).alias("w"), F.when(F.col("id") % 50 < 25, "X").otherwise("Y").alias("cls"))
+    rows.coalesce(1).write.parquet(path)
+    one = spark.read.parquet(path)
+    model = models.train_classifier(one, "cls", ["a"], kind="seen", params={"maxDepth": 2, "weightCol": "w"})
+    assert one.rdd.getNumPartitions() == 1 and parts == [10]  # a feature and the bias of each row
+    assert models.classify(model, one, "cls").count() == 20_000
