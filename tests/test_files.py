@@ -152,3 +152,18 @@ def test_conll_with_two_line_ends(spark, tmp_path):
         (tmp_path / name).write_bytes(t.encode())
         tokens, _ = conll.read_conll(spark, str(tmp_path / name))
         assert [(r["sent_id"], r["form"]) for r in tokens.orderBy("sent_id", "word_id").collect()] == [(1, "a"), (1, "b"), (2, "c")]
+
+
+def test_cells_of_a_wide_sentence(spark):
+    """A line has a cell per predicate; its expression visits roles, not cells."""
+    words = [(1, i, f"w{i}", "Y" if i <= 300 else "_") for i in range(1, 302)]
+    tokens = spark.createDataFrame(words, "sent_id long, word_id int, form string, fillpred string")
+    roles = [(1, 300, 1, "Z"), (1, 1, 1, "A"), (1, 7, 1, None), (1, 301, 1, "past"), (1, 0, 1, "before"), (1, 2, 301, "B")]
+    args = spark.createDataFrame(roles, "sent_id long, pred_no int, word_id int, role string")
+    out = conll.conll_text(tokens, args)
+    lines = [x.split("\t")[len(conll.FIELDS):] for x in out.first()["text"].split("\n")]
+    assert [len(x) for x in lines] == [300] * 301
+    assert lines[0] == ["A", *["_"] * 298, "Z"] and lines[300] == ["_", "B", *["_"] * 298] and set(lines[1]) == {"_"}
+    longs = conll.conll_text(tokens, args.withColumn("pred_no", F.col("pred_no").cast("long")))
+    assert longs.first()["text"] == out.first()["text"]
+    assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()
