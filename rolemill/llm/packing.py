@@ -137,8 +137,9 @@ def pack(df: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, text:
             id_type = batch.column("id").type
             units = [bpe.units(t) for t in texts(batch.column("text"))]
             bpe.learn(units)
+            ids = bpe.ids.__getitem__
             for doc, us in zip(batch.column("id").to_pylist(), units, strict=True):
-                packer.add(doc, np.frombuffer(b"".join([bpe.ids[u] for u in us]) + end, "<u4"))
+                packer.add(doc, np.frombuffer(b"".join(map(ids, us)) + end, "<u4"))
             packer.run(HELD)
             if packer.out:
                 yield pieces()

@@ -85,7 +85,7 @@ class WordBpe:
         """Little-endian 32-bit ids of each unit."""
         plain, odd, marked = [], [], []
         for i, u in enumerate(units):
-            (plain if not ODD.search(u) else marked if b"<|" in u else odd).append(i)
+            (plain if (u.isascii() and b"<|" not in u) or not ODD.search(u) else marked if b"<|" in u else odd).append(i)
         out: list[bytes] = [b""] * len(units)
         tokens, counts = self._plain_tokens([units[i] for i in plain])
         for i in odd:
@@ -169,7 +169,10 @@ def merge_ragged(flat: np.ndarray, sizes: np.ndarray, bpe: WordBpe) -> tuple[np.
         place = np.cumsum(keep) - 1
         flat, rank, owner = flat[keep], rank[keep], owner[keep]
         new = place[hit]
-        new = np.unique(np.concatenate((new, new[new > 0] - 1)))
+        beside = np.zeros(len(flat), bool)
+        beside[new] = True
+        beside[new[new > 0] - 1] = True
+        new = np.flatnonzero(beside)
         last = np.ones(len(flat), bool)
         last[:-1] = owner[1:] != owner[:-1]
         rank[new[last[new]]] = NONE

@@ -54,3 +54,21 @@ def test_special_strings_and_nothing():
     units = ["<|endoftext|>", "a<|startoftext|>b", "<|", "<|x|>", "|>"]
     assert wordbpe.WordBpe(PATH).encode([u.encode() for u in units]) == library(units)
     assert wordbpe.WordBpe(PATH).encode([]) == []
+
+
+def test_merge_rounds_do_not_sort(monkeypatch):
+    """A round's cost is that of passes over its places: no sort of the merged ones."""
+    bpe = wordbpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    words = [b"internationalisation", b"aaaaaaaaaaa", b"mississippi", "straße".encode()]
+    sizes = np.array([len(w) for w in words])
+    flat = bpe.inner[np.frombuffer(b"".join(words), np.uint8)]
+    flat[np.cumsum(sizes) - 1] = bpe.last[[w[-1] for w in words]]
+
+    def sort(*args, **kwargs):
+        raise AssertionError("sorted in a round")
+
+    with monkeypatch.context() as m:
+        m.setattr(wordbpe.np, "unique", sort)
+        symbols, left = wordbpe.merge_ragged(flat, sizes, bpe)
+    wanted = [bpe.library.encode(w.decode(), add_special_tokens=False).ids for w in words]
+    assert symbols.tolist() == [i for ids in wanted for i in ids] and left.tolist() == [len(ids) for ids in wanted]
