@@ -91,6 +91,29 @@ def test_shards_stop_when_converged(separable, monkeypatch):
     assert set(cut[cut["trial"] == 1]["feature"]) == {"BIAS"} and whole["part_key"].isna().any()
 
 
+def test_features_of_one_shard_are_not_exchanged(spark, monkeypatch):
+    rows = [(f"u{i} v{i % 4} {'x' if i % 3 else ''}", "k" if i % 2 else None, "pqr"[i % 3] if i % 5 else "q") for i in range(80)]
+    df = spark.createDataFrame(rows, "set_s string, part_key string, cls string").withColumn("num", F.length("set_s"))
+    how = encoding.Binarize("set_aware", prefix="set_")
+    trials = grouped.trial_table(df, ["part_key"], [(None, 1.0, 9), (["num"], 1.0, 3), (["set_s"], 0.5, 0), (["set_s"], 30.0, 200)])
+    whole = grouped.train_trials(df, "cls", ["set_s", "num"], trials, how=how, tol=1e-3).toPandas()
+    written, bucketed = [], grouped._bucketed
+
+    def spy(table, by, made):
+        out = bucketed(table, by, made)
+        if "feature" in out.columns:
+            written.extend(r["feature"] for r in out.select("feature").distinct().collect())
+        return out
+
+    monkeypatch.setattr(grouped, "SHARD_ROWS", 9)
+    monkeypatch.setattr(grouped, "_bucketed", spy)
+    cut = grouped.train_trials(df, "cls", ["set_s", "num"], trials, how=how, tol=1e-3).toPandas()
+    assert "BIAS" in written and not any(">u" in f for f in written)
+    both = whole.fillna("").merge(cut.fillna(""), on=["part_key", "trial", "feature", "class"], suffixes=("_a", "_b"))
+    assert len(both) == len(whole) == len(cut) and set(whole["trial"]) == {0, 1, 2, 3}
+    assert (both["weight_a"] - both["weight_b"]).abs().max() < 1e-9
+
+
 def test_binarization_in_training(spark):
     """Only one member of the set decides the label; its values are all different."""
     rows = [(i, "k" if i % 3 else None, f"{'x' if i % 2 else 'y'} u{i} v{i % 5}", "p" if i % 2 else "q") for i in range(60)]
