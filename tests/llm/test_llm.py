@@ -245,6 +245,30 @@ def test_html(spark):
     assert got[2] == (3, "") and got[3:5] == [(4, ""), (4, "plain\nend")]
 
 
+def test_html_template_classes(spark):
+    """Slots decide without an `article`; empty, cut and other pages leave the template as it is."""
+    def story(i):
+        return f'<html><body><div class="top"><b>Site</b> of X</div><div class="story"><h2>Summary</h2><p class="lead">says {i} things</p><p>more of {i} &amp; on</p></div><div class="bottom">Imprint</div></body></html>'
+
+    rows = [(i, "http://s.x/", story(i)) for i in range(6)] + [(6, "http://s.x/", ""), (7, "http://s.x/", None)]
+    rows += [(20 + i, "http://a.x/", f'<body><div class="teaser">read {i}</div><article><p>one {i}</p></article></body>') for i in range(3)]
+    rows += [(23, "http://a.x/", ""), (24, "http://a.x/", '<body><div class="teaser">read</div><article><p>cut he'), (25, "http://a.x/", "<body><div>other layout</div>")]
+    rows += [(30 + i, "http://copy.x/", "<body><div><p>the same</p></div></body>") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in mainhtml.extract_main(df.union(df.filter("page_id < 2"))).collect()}
+    assert [got[i].split("\n")[0] for i in range(6)] == ["Summary"] * 6
+    assert [got[i].split("\n")[-1] for i in range(6)] == [f"more of {i} & on" for i in range(6)] and got[6] == got[7] == ""
+    assert [got[i] for i in range(20, 26)] == ["one 0", "one 1", "one 2", "", "cut he", "other layout"]
+    assert {got[i] for i in range(30, 38)} == {"the same"}
+
+
+def test_html_elements_by_hand():
+    page = '<body><div class="b a"><p>one &amp; two<p>three<nav>no</nav></div><div><p>one &amp; two</div>'
+    found = mainhtml.elements(page)
+    assert [(e[1], e[4]) for e in found] == [("body", 7), ("div", 4), ("p", 3), ("p", 1), ("div", 3), ("p", 3)]
+    assert found[2][0] == found[3][0] != found[5][0] and found[2][5] == found[5][5] == found[4][5] != found[3][5]
+
+
 def test_pipeline(spark, docs, none, tmp_path):
     labels = spark.createDataFrame([(0, 0), (1, 0)], "doc_id long, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
