@@ -3,10 +3,11 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from rolemill.llm import decontaminate, linededup, repeats, simhash, toxicity
+from rolemill.llm import bwt, decontaminate, linededup, repeats, simhash, toxicity
 from rolemill.llm.components import components
 
 
@@ -35,6 +36,47 @@ def test_spans_of_bytes(spark):
     assert got == {0: [], 1: [(7, 67), (72, 162)], 2: [(0, 90)], 3: [], 4: [], 5: []}
 
 
+def part_repeats(spark):
+    """Passages of 60 bytes in other surroundings, in texts that lie in different tasks, and copies of a text."""
+    r = random.Random(7)
+    part = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    passages = [part(60) for _ in range(3)]
+    texts = [part(20) + p + part(r.randrange(30)) for p in passages for _ in range(6)]
+    rows = [(d, t) for d, t in enumerate(texts)] + [(50, texts[0]), (51, texts[0]), (None, texts[0]), (3, texts[1])]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def brute_spans(df, window=50):
+    rows = [(x.doc_id, x.text) for x in df.collect()]
+    low = {}
+    for d, t in rows:
+        for i in range(len(t) - window + 1):
+            if d is not None:
+                low[t[i : i + window]] = min(d, low.get(t[i : i + window], d))
+    gone = [(d, len({j for i in range(len(t) - window + 1) if d is not None and low[t[i : i + window]] < d for j in range(i, i + window)})) for d, t in rows]
+    return sorted(gone, key=str)
+
+
+def removed(df, **how):
+    return sorted(((x.doc_id, x.n_removed) for x in repeats.remove_repeats(df, "byte", **how).collect()), key=str)
+
+
+def test_suffix_arrays_decide_between_tasks(spark):
+    df = part_repeats(spark)
+    assert removed(df, local=bwt.settle) == removed(df) == brute_spans(df)
+    # what differs within a seed is decided by the given step alone
+    none = dict(removed(df, local=lambda raw, ids, who, *rest: np.zeros(len(who), bool)))
+    assert sum(none.values()) < sum(n for _, n in brute_spans(df))
+
+
+@pytest.mark.parametrize("most", [1, 300])
+def test_a_seed_with_more_than_a_batch_of_runs(spark, monkeypatch, most):
+    monkeypatch.setattr(repeats, "BATCH_BYTES", most)
+    monkeypatch.setattr(repeats, "HELD_BYTES", 100)
+    df = part_repeats(spark)
+    assert removed(df, local=bwt.settle) == brute_spans(df)
+
+
 def brute_lines(docs, least=24):
     """Each later document aligned with every earlier one."""
     from rolemill.llm.linededup import patience
