@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolemill.operators import context, trees
+from rolemill.plans.catalog import trees as catalog
 from rolemill.plans.instances import srl_instances, tree_features
 from rolemill.sources.conll import Language
 
@@ -149,3 +150,16 @@ def test_candidates_are_not_sorted_by_predicate_for_their_walks(spark):
                 assert not [line for line in plan.splitlines() if "Sort [" in line and "pred_word" in line]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_summary_reads_every_feature(spark, toks, tmp_path):
+    """The query over instances sums up all text columns that `srl_instances` makes when nothing is left out."""
+    full = srl_instances(toks, golden.args(spark), LANGUAGE, divide_ams=True)
+    kinds = {c for c, t in full.dtypes if t == "string"} - {"part_key", "semrel", "semrel_ams", "p_lemma", "p_pos", "p_feat", "p_deprel", "feat"}
+    assert set(catalog.TEXTS) == kinds
+    spark.createDataFrame([(1, 1, "elephants see bananas")], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    row = {r.part_key: r for r in catalog.instance_summary(spark, str(tmp_path)).collect()}["elephants.n"]
+    assert (row.n, row.roles, row.near) == (3, 1, 3)
+    # elephants heads the others, both of which are its children
+    assert (row.Right12_form_bytes, row.Children_lemma_bytes, row.LeftSiblings_deprel_bytes, row.Parent_form_bytes) == (11 + 8 + 1, 11, 2, 18)
+    assert (row.PredArg_form_bytes, row.DepPath_form_bytes) == (3 * 10 + 9 + 3 + 7, 3)
