@@ -163,3 +163,44 @@ def test_summary_reads_every_feature(spark, toks, tmp_path):
     # elephants heads the others, both of which are its children
     assert (row.Right12_form_bytes, row.Children_lemma_bytes, row.LeftSiblings_deprel_bytes, row.Parent_form_bytes) == (11 + 8 + 1, 11, 2, 18)
     assert (row.PredArg_form_bytes, row.DepPath_form_bytes) == (3 * 10 + 9 + 3 + 7, 3)
+
+
+def _path(up, down, word, pred, meet):
+    """Up and down texts by hand from (id, value) walks; NULL values are left out."""
+    if word == pred:
+        return "+"
+    ids, pids = [i for i, _ in up], [i for i, _ in down]
+    only_up = meet == pred
+    n_up = len(up) - 1 if meet is None else max(ids.index(meet) - 1, 0) if only_up else ids.index(meet)
+    n_down = len(down) - 1 if meet is None else 0 if only_up else max(pids.index(meet) - 1, 0)
+    a, b = [v for _, v in up[1 : n_up + 1] if v is not None], [v for _, v in reversed(down[1 : n_down + 1]) if v is not None]
+    text = ("/" + "/".join(a) if n_up else "") + ("/+++" if meet is None else "") + ("\\" + "\\".join(b) if n_down else "")
+    return text + ("/" if only_up else "\\")
+
+
+def test_carried_walks_give_the_same_paths(spark):
+    """Walks joined to words and predicates before rows repeat, and joined to candidates; with NULLs, a cycle, odd ids."""
+    tokens = [(1, w, w // 2, None if w in (1, 4) else f"ä{w}", "Y" if w % 3 else "_") for w in range(1, 12)]
+    tokens += [(2, 1, 2, "a", "Y"), (2, 2, 1, "b", "_"), (2, 3, 2, "c", "Y"), (2, 4, 0, "", "_")]
+    tokens += [(3, 2, 0, "C", "Y"), (3, 3, 2, "D", "_"), (None, 1, 0, "F", "Y"), (4, 1, 9, "g", "Y"), (4, 2, 1, "h", "_")]
+    df = spark.createDataFrame(tokens, "sent_id long, word_id int, head int, deprel string, fillpred string")
+    walks = {(r.sent_id, r.word_id): list(zip(r.up, r.up_deprel, strict=True)) for r in trees.tree_paths(df, ["deprel"]).collect()}
+    want = []
+    for s, w, *_ in tokens:
+        for t, p, *_, f in tokens:
+            if s is not None and s == t and f == "Y" and (s, w) in walks:
+                ids = {i for i, _ in walks[s, p]}
+                meet = next((i for i, _ in walks[s, w] if i in ids), None)
+                want.append((s, w, p, _path(walks[s, w], walks[s, p], w, p, meet)))
+    for rows in (trees.candidate_rows(df), trees.candidate_rows(df, carried=trees.walks(df, ["deprel"]))):
+        got = trees.path_features(df, rows, ["deprel"]).select("sent_id", "word_id", "pred_word", "DepPath_deprel")
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_a_word_with_two_roles_has_a_row_for_each(spark, toks):
+    args = golden.args(spark)
+    twice = args.union(args.filter("role = 'A1'").withColumn("role", F.lit("A2")))
+    for some in (args, twice):
+        got = srl_instances(toks, some, LANGUAGE).select("sent_id", "pred_no", "word_id", "semrel")
+        want = trees.candidate_rows(toks).join(some, ["sent_id", "pred_no", "word_id"], "left").selectExpr("sent_id", "pred_no", "word_id", "coalesce(role, '_') semrel")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
