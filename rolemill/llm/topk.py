@@ -104,13 +104,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
         return work
 
     blocks = fix(placed.select("id", "v").mapInArrow(gather(GROUP_ROWS), "ids array<long>, vs array<array<long>>").withColumn("low", F.col("ids")[0]))
-    blocks = number_rows(blocks, ["low", "ids"], name="g").withColumn("g", (F.col("g") - 1).cast("int"))
+    # by one number: the keys of a range sort are sampled on the driver, and ids are thousands a row; ties may go either way
+    blocks = number_rows(blocks, ["low"], name="g").withColumn("g", (F.col("g") - 1).cast("int"))
     n_blocks = blocks.count()
     asked = placed.filter("q").groupBy("id").agg(F.min("v").alias("v"))
     asked = fix(asked.mapInArrow(gather(QUERY_ROWS), "ids array<long>, vs array<array<long>>").withColumnsRenamed({"ids": "qids", "vs": "qvs"}))
     # the stated query set meets every group of blocks, a block of queries at a time
     sent = asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(max(n_blocks - 1, 0)))))
-    pairs = sent.join(blocks, "g").select("ids", "vs", "qids", "qvs")
+    # merged, never broadcast: the few bytes of the files say nothing of the copies sent, which grow with the square of the input
+    pairs = sent.join(blocks.hint("merge"), "g").select("ids", "vs", "qids", "qvs")
 
     def work(batches):
         for batch in batches:

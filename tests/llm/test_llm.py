@@ -237,6 +237,14 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0), df.vec_id % 20 == 0).count() == 0
 
 
+def test_top_k_sends_no_vectors_through_the_driver(spark):
+    df = spark.range(50).selectExpr("id as vec_id", "array(id * 0.1, 1.0) as embedding")
+    out = topk.top_k(df, df.vec_id % 20 == 0, k=5)
+    assert out.count() == 15
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [g" in plan and "BroadcastHashJoin [g" not in plan
+
+
 def test_html(spark):
     page = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav>m</nav><div class="ad x">buy</div><article><h1>A &amp; B</h1><p>one\n two<br>x<p><b>three</article><footer>f</footer>'
     rows = [(1, "http://h.x/1", page), (2, "http://h.x/2", page), (3, None, None), (4, "http://k.x", "<p>plain</p><aside>no</aside>end"), (4, "http://k.x", ""), (5, "http://h.x/5", page[:200])]
